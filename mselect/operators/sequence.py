@@ -255,8 +255,8 @@ def minibatch_index(rows: DataFrame, batch: int, order: Sequence[str], keys: Seq
 def relative_hours(rows: DataFrame, times: Sequence[str], zero: Column | None = None) -> DataFrame:
     """Replace timestamps by hours since ``zero``, or since the earliest value of the first column."""
     if zero is None:
-        earliest = rows.agg(F.min(times[0])).first()[0]
-        zero = F.lit(earliest)
+        earliest = rows.agg(F.min(times[0]).cast("string")).first()[0]
+        zero = F.lit(earliest).cast(rows.schema[times[0]].dataType)
     return rows.withColumns({t: seconds_between(zero, F.col(t)) / 3600 for t in times})
 
 
