@@ -146,7 +146,7 @@ def reassemble_chunks(chunks: DataFrame, pointers: DataFrame, chunk_size: int =
     group never exceeds the value it makes.
     """
     wanted = chunks.join(pointers.select("id"), "id", "left_semi")
-    once = wanted.groupBy("id", "seq").agg(F.first("data").alias("data"))
+    once = wanted.groupBy("id", "seq").agg(F.min("data").alias("data"))
     parts = once.groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("_p"),
         F.count(F.lit(1)).alias("chunks"), F.max("seq").alias("_last"),
