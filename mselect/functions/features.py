@@ -170,8 +170,9 @@ def dense_to_sparse(dense: str | Column) -> Column:
 
 def one_hot(y: str | Column, classes: int) -> Column:
     """Row ``y`` of the identity matrix as small integers; all zeros when ``y`` is null or out of range."""
-    return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)),
-                       lambda i: F.coalesce((i == col(y)).cast("smallint"), F.lit(0).cast("smallint")))
+    place, zero = col(y).cast("int"), F.lit(0).cast("smallint")
+    row = F.concat(F.array_repeat(zero, place), F.array(F.lit(1).cast("smallint")), F.array_repeat(zero, classes - 1 - place))
+    return F.when(place.between(0, classes - 1), row).otherwise(F.array_repeat(zero, classes))
 
 
 def argmax(a: str | Column) -> Column:

@@ -35,8 +35,8 @@ def spread(df: DataFrame) -> DataFrame:
 # Expressions that read the same in Spark and in the checking SQL.
 JOB_COLUMNS = [
     "CAST(user_id % 8 AS INT) AS model_key", "CAST(event_id % 8 AS INT) AS dist_key",
-    "CAST(1 + event_id % 5 AS INT) AS epoch", "value / 500 AS metric_valid", "1 - value / 500 AS loss_valid",
-    "value / 600 AS metric_train", "1 - value / 600 AS loss_train", "ts AS start_time", "event_id",
+    "CAST(1 + event_id % 5 AS INT) AS epoch", "value / 503 AS metric_valid", "1 - value / 503 AS loss_valid",
+    "value / 607 AS metric_train", "1 - value / 607 AS loss_train", "ts AS start_time", "event_id",
 ]
 JOBS_SQL = f"jobs AS (SELECT {', '.join(JOB_COLUMNS)} FROM events)"
 
