@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from mselect.session import ensure_checkpoint_dir, ship_package
+
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 GAP_SCHEMA = StructType([StructField("worker", StringType()), StructField("event", StringType()),
                          StructField("micros", LongType())])
 
@@ -55,8 +60,25 @@ def stream_event_gaps(source: DataFrame, worker: str = "worker", time: str = "t"
     State is one row per worker. A worker's rows of one micro-batch meet in one task, so bound the batch by the
     source's rate limit (``maxFilesPerTrigger``).
     """
+    spark = source.sparkSession
+    ship_package(spark)
+    # keyed state of this kind needs the RocksDB store
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     rows = source.select(F.col(worker).cast("string").alias("worker"), F.unix_micros(F.col(time).cast("timestamp")).alias("micros"),
                          F.col(info).alias("info"), F.col(tie).cast("long").alias("tie"))
     gaps = rows.groupBy("worker").transformWithStateInPandas(
         statefulProcessor=_GapProcessor(), outputStructType=GAP_SCHEMA, outputMode="append", timeMode="none")
     return gaps.select("worker", "event", (F.col("micros") / 1e6).alias("seconds"))
+
+
+def drain(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """Run a stream over all data that is there now into Parquet files and return the result as a table.
+
+    Without ``path`` the files go next to the checkpoints, in a folder of their own.
+    """
+    spark = stream.sparkSession
+    root = path or f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/data").option(
+        "checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/data")
