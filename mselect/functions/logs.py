@@ -69,9 +69,9 @@ def parse_event_line(line: str | Column, style: str) -> Column:
 
 
 def parse_percent(line: str | Column, place: int) -> Column:
-    """The ``place``-th comma-separated number of a line such as ``12%,34.5%`` without its unit."""
+    """The ``place``-th comma-separated number of a line such as ``12%,34.5%`` without its one-letter unit."""
     piece = F.get(F.split(col(line), ","), F.lit(place))
-    return F.regexp_extract(piece, r"^\s*(-?[\d.]+(?:[eE][-+]?\d+)?)", 1).try_cast("double")
+    return F.regexp_extract(piece, r"^\s*([-+]?[\d.]+(?:[eE][-+]?\d+)?)\s*.$", 1).try_cast("double")
 
 
 def parse_disk(line: str | Column) -> Column:
