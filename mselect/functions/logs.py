@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,17 @@ SHORT_EVENTS = ["Start loading data", "End loading data", "Start MST", "End MST"
 def parse_time(c: str | Column) -> Column:
     """Timestamp of a whole text, null when it is something else."""
     c = col(c)
-    return F.when(c.rlike(TIME_PATTERN), F.try_to_timestamp(c, F.lit(TIME_FORMAT)).cast("timestamp_ntz"))
+    return F.when(c.rlike(TIME_PATTERN), c.try_cast("timestamp_ntz"))
+
+
+def kv_value(line: str | Column, key: str) -> Column:
+    """One value of a ``K: V, K: V`` line: the last pair of that key that has two parts, null without one.
+
+    The same value as ``parse_kv(line)[key]`` without building the map.
+    """
+    quoted = re.escape(key)
+    found = F.regexp_extract(col(line), rf"^(?:.*, )?{quoted}: ((?:(?!, |: ).)*)(?:, .*)?$", 1)
+    return F.when(col(line).rlike(rf"(?:^|, ){quoted}: (?:(?!, |: ).)*(?:, |$)"), found)
 
 
 def parse_kv(line: str | Column, strict: bool = False) -> Column:
@@ -50,19 +62,19 @@ def parse_event_line(line: str | Column, style: str) -> Column:
     """
     c = col(line)
     if style == "unix":
-        kv = parse_kv(c)
-        return F.struct(kv["EVENT"].alias("info"),
-                        F.timestamp_seconds(kv["TIME"].cast("bigint")).cast("timestamp_ntz").alias("t"))
-    parts = F.split(c, ": ")
+        seconds = kv_value(c, "TIME").try_cast("bigint")
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.struct(kv_value(c, "EVENT").alias("info"), F.timestamp_add("SECOND", seconds, epoch).alias("t"))
     if style == "notice":
-        info = F.trim(F.get(parts, F.lit(1)))
-        stamp = F.trim(F.split(F.get(parts, F.lit(2)), r"\(")[0])
+        info = F.trim(F.split_part(c, F.lit(": "), F.lit(2)))
+        stamp = F.trim(F.substring_index(F.split_part(c, F.lit(": "), F.lit(3)), "(", 1))
     elif style in ("client", "ddp"):
-        info = F.array_join(F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.trim), ": ")
-        stamp = F.trim(F.element_at(parts, -1))
+        stamp = F.trim(F.substring_index(c, ": ", -1))
+        before = F.left(c, F.length(c) - F.length(F.substring_index(c, ": ", -1)) - 2)
+        info = F.trim(F.when(before.rlike(r"\s: |:  "), F.regexp_replace(before, r"\s*: \s*", ": ")).otherwise(before))
         if style == "ddp":
-            for name in SHORT_EVENTS:
-                info = F.when(info.contains(name), F.lit(name)).otherwise(info)
+            for name in reversed(SHORT_EVENTS):
+                info = F.when(c.contains(name), F.lit(name)).otherwise(info)
     else:
         raise ValueError(f"unknown line style {style!r}")
     return F.struct(info.alias("info"), parse_time(stamp).alias("t"))
@@ -88,11 +100,14 @@ def parse_disk(line: str | Column) -> Column:
     return F.when(c.contains(DISK_MARK), both)
 
 
+def names_interface(line: str | Column) -> Column:
+    return col(line).rlike(rf"(?:^|, )(?:{CONTROL_IFACE}|{EXPERIMENT_IFACE}): (?:(?!, |: ).)*(?:, |$)")
+
+
 def parse_net(line: str | Column) -> Column:
     """Map of a network line's numbers; the interface entry itself is left out, null if the line names none."""
-    kv = parse_kv(col(line))
-    named = F.map_contains_key(kv, CONTROL_IFACE) | F.map_contains_key(kv, EXPERIMENT_IFACE)
-    numbers = F.map_filter(kv, lambda k, _: ~k.isin(CONTROL_IFACE, EXPERIMENT_IFACE))
+    named = names_interface(line)
+    numbers = F.map_filter(parse_kv(col(line)), lambda k, _: ~k.isin(CONTROL_IFACE, EXPERIMENT_IFACE))
     return F.when(named, F.transform_values(numbers, lambda _, v: v.try_cast("double")))
 
 

@@ -29,12 +29,17 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
 
 
 class Ordered:
-    """A DataFrame seen as one ordered sequence per key. ``order`` must be a total order inside a key."""
+    """A DataFrame seen as one ordered sequence per key. ``order`` must be a total order inside a key.
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], max_group_rows: int | None = None):
+    ``sized`` may name a table that is cheaper to count and has at least as many rows of every key, such as the lines
+    that ``df`` was parsed from.
+    """
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], max_group_rows: int | None = None,
+                 sized: DataFrame | None = None):
         self.keys, self.order = list(keys), list(order)
         limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-        sizes = df.groupBy(*self.keys).count().agg(F.max("count"), F.sum("count")).first()
+        sizes = (df if sized is None else sized).groupBy(*self.keys).count().agg(F.max("count"), F.sum("count")).first()
         largest, total = sizes[0] or 0, sizes[1] or 0
         self.split = largest > limit
         if self.split:
@@ -144,9 +149,9 @@ def seconds_between(start: str | Column, end: str | Column) -> Column:
 
 
 def event_gaps(log: DataFrame, worker: str = "worker", time: str = "t", info: str = "info", tie: str = "pos",
-               max_group_rows: int | None = None) -> DataFrame:
+               max_group_rows: int | None = None, sized: DataFrame | None = None) -> DataFrame:
     """Adjacent events of a worker as (worker, event, seconds); equal times keep line order."""
-    seq = Ordered(log.select(worker, time, info, tie), [worker], [time, tie], max_group_rows)
+    seq = Ordered(log.select(worker, time, info, tie), [worker], [time, tie], max_group_rows, sized)
     out = seq.shift({"_t0": time, "_info0": info}).done().where(F.col("_t0").isNotNull())
     return out.select(
         worker,

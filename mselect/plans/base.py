@@ -29,7 +29,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a small file, which one task would read, over the cores; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df  # planning only, no job
 
 
 # Expressions that read the same in Spark and in the checking SQL.
@@ -66,7 +66,7 @@ CLICK_LABEL = "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END"
 
 def clicks(spark: SparkSession, folder: str) -> DataFrame:
     """Click rows (l_orderkey, l_linenumber, y, n0..n12, c0..c25)."""
-    return table(spark, folder, "lineitem").selectExpr(
+    return spread(table(spark, folder, "lineitem")).selectExpr(
         "l_orderkey", "l_linenumber", f"{CLICK_LABEL} AS y",
         *[f"{e} AS n{i}" for i, e in enumerate(CLICK_NUMERIC)], *[f"{e} AS c{i}" for i, e in enumerate(CLICK_CATEGORICAL)])
 

@@ -401,9 +401,10 @@ def minibatch_index(spark, d):
     return seq.minibatch_index(table(spark, d, "events").select("event_id", "user_id"), 16, ["event_id"], ["user_id"], drop_last=True)
 
 
-@query("SELECT event_id, round((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 3.6e9, 6) AS ts FROM events")
+@query("SELECT event_id, epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events) AS micros FROM events")
 def relative_hours(spark, d):
-    return _rounded(seq.relative_hours(table(spark, d, "events").select("event_id", "ts"), ["ts"]), ["ts"])
+    out = seq.relative_hours(table(spark, d, "events").select("event_id", "ts"), ["ts"])
+    return out.select("event_id", F.round(F.col("ts") * 3.6e9).cast("long").alias("micros"))
 
 
 @query("SELECT o_orderkey, i AS epoch, round(o_custkey + (o_totalprice - o_custkey) * i / 10.0, 4) AS x FROM orders, range(1, 11) t(i)")
@@ -413,12 +414,12 @@ def linspace_epochs(spark, d):
 
 
 @query(f"WITH {JOBS_SQL}, f AS (SELECT model_key, min(start_time) AS m FROM jobs GROUP BY 1), o AS (SELECT model_key, row_number() OVER (ORDER BY m, model_key) AS ordinal FROM f) "
-       "SELECT event_id, dist_key AS task, ordinal, round((epoch_us(start_time) - (SELECT min(epoch_us(start_time)) FROM jobs)) / 3.6e9, 6) AS start_time, "
+       "SELECT event_id, dist_key AS task, ordinal, epoch_us(start_time) - (SELECT min(epoch_us(start_time)) FROM jobs) AS start_micros, "
        "CAST(event_id % 50 AS DOUBLE) AS total_time FROM jobs JOIN o USING (model_key)")
 def job_gantt(spark, d):
     j = jobs(spark, d).withColumn("end_time", F.timestamp_add("SECOND", (F.col("event_id") % 50).cast("int"), F.col("start_time")))
     out = seq.job_gantt(j, worker="dist_key", model="model_key")
-    return out.select("event_id", "task", "ordinal", F.round("start_time", 6).alias("start_time"), "total_time")
+    return out.select("event_id", "task", "ordinal", F.round(F.col("start_time") * 3.6e9).cast("long").alias("start_micros"), "total_time")
 
 
 @query("WITH b AS (SELECT user_id AS batch, min(value) AS error FROM events GROUP BY 1) SELECT batch, error, min(error) OVER (ORDER BY batch) AS best FROM b")

@@ -56,7 +56,7 @@ def phase_breakdown(lines: DataFrame, semantics: DataFrame, style: str = "notice
     """Seconds per phase of a log with columns (worker, pos, value)."""
     event = logs.parse_event_line("value", style)
     parsed = lines.select(worker, "pos", event.alias("e")).select(worker, "pos", "e.info", "e.t").where("t IS NOT NULL")
-    gaps = event_gaps(parsed, worker, "t", "info", "pos", max_group_rows)
+    gaps = event_gaps(parsed, worker, "t", "info", "pos", max_group_rows, sized=lines)
     if not strict:
         by_event = gaps.groupBy("event").agg(F.sum("seconds").alias("seconds"))
         return by_event.join(semantics, "event").groupBy("phase").agg(F.sum("seconds").alias("seconds"))
@@ -113,12 +113,12 @@ def pair_records(lines: DataFrame, kind: str, keys: Sequence[str] = ("worker", "
                           logs.parse_percent("v1", 1).alias("memory")).where("utilization IS NOT NULL")
     if kind == "disk":
         return raw.select(*head, F.explode(logs.parse_disk("v1")).alias("d")).select(*head, "d.*")
-    both = raw.select(*head, F.array(
-        F.struct(F.lit("CONTROL").alias("iface"), logs.parse_net("v1").alias("m")),
-        F.struct(F.lit("EXP").alias("iface"), logs.parse_net("v2").alias("m"))).alias("_n"))
-    ok = F.forall("_n", lambda n: n["m"].isNotNull())
-    rows = both.where(ok).select(*head, F.explode("_n").alias("n"))
-    return rows.select(*head, "n.iface", F.col("n.m")["rxkB/s"].alias("rx"), F.col("n.m")["txkB/s"].alias("tx"))
+    # only the two rates are read, so no map is built
+    sides = F.array(F.struct(F.lit("CONTROL").alias("iface"), F.col("v1").alias("v")),
+                    F.struct(F.lit("EXP").alias("iface"), F.col("v2").alias("v")))
+    both = raw.where(logs.names_interface("v1") & logs.names_interface("v2")).select(*head, F.inline(sides))
+    return both.select(*head, "iface", logs.kv_value("v", "rxkB/s").try_cast("double").alias("rx"),
+                       logs.kv_value("v", "txkB/s").try_cast("double").alias("tx"))
 
 
 def utilization(lines: DataFrame, start: str | Column, end: str | Column, kind: str = "cpu",
