@@ -180,15 +180,14 @@ def argmax(a: str | Column) -> Column:
     return (F.array_position(col(a), F.array_max(col(a))) - 1).cast("int")
 
 
-def label_index(df: DataFrame, label: str, prefix: str = "n", name: str = "label_id",
-                max_labels: int = 1_000_000) -> DataFrame:
+def label_index(df: DataFrame, label: str, prefix: str = "n", name: str = "label_id") -> DataFrame:
     """Add a dense 0-based number per label, in sorted label order, for labels that start with ``prefix``."""
+    from mselect.operators.relational import broadcast_if_small
+    from mselect.operators.sequence import Ordered
+
     kept = df.where(F.col(label).startswith(prefix)) if prefix else df
-    known = [r[0] for r in kept.select(label).distinct().limit(max_labels + 1).collect()]
-    if len(known) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
-    table = df.sparkSession.createDataFrame(list(enumerate(sorted(known))), f"{name} int, _label string")
-    return kept.join(F.broadcast(table), F.col(label) == F.col("_label")).drop("_label")
+    numbered = Ordered(kept.select(label).distinct(), [], [label]).position(name).done()
+    return kept.join(broadcast_if_small(numbered.withColumn(name, F.col(name).cast("int"))), label)
 
 
 def standardize(x: str | Column, mean: Sequence[float], std: Sequence[float], scale: float = 255.0) -> Column:

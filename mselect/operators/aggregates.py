@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -171,6 +171,8 @@ def as_vector(merged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.max("n").alias("n"))
 
 
-def row_numbers_small(df: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataFrame:
-    """1-based numbers for a table that is small by nature (configurations, models)."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+def row_numbers(df: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataFrame:
+    """1-based numbers over the whole table."""
+    from mselect.operators.sequence import Ordered
+
+    return Ordered(df, [], order).position(name).done().withColumn(name, F.col(name) + 1)

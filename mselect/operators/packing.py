@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mselect.functions.features import normalize_array, one_hot
-from mselect.operators.sequence import Ordered
+from mselect.operators.sequence import Ordered, with_positions
 
 MAX_CLASSES = 100_000
 
@@ -35,7 +35,7 @@ def pack(df: DataFrame, buffer_size: int, keys: int, classes: Sequence, norm: fl
     lookup = F.map_from_arrays(F.array(*map(F.lit, classes)), F.sequence(F.lit(0), F.lit(len(classes) - 1)))
     code = F.try_element_at(lookup, F.col(y))
     rows = df.select(dist.cast("int").alias("dist_key"), F.col(id).alias("_id"), F.col(x).alias("_x"), code.alias("_c"))
-    placed = Ordered(rows, ["dist_key"], ["_id"], max_group_rows).position("_pos").done()
+    placed = with_positions(rows, ["dist_key"], ["_id"], "_pos", max_group_rows)
     features = F.col("_x") if norm == 1.0 else normalize_array("_x", norm)
     cell = F.struct(F.col("_pos").alias("p"), features.cast("array<float>").alias("x"), F.col("_c").alias("c"))
     # a group is one buffer, so at most buffer_size rows come together

@@ -21,13 +21,6 @@ _BLOCK = "_block"
 _INF = Window.unboundedPreceding
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
-
-
 class Ordered:
     """A DataFrame seen as one ordered sequence per key. ``order`` must be a total order inside a key.
 
@@ -141,6 +134,25 @@ class Ordered:
         return self.df.drop(_BLOCK)
 
 
+def with_positions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos",
+                   max_group_rows: int | None = None) -> DataFrame:
+    """Add the 0-based place of each row inside its key, for rows that may be wide.
+
+    When keys must be split, places are found on the key and order columns alone and joined back, so the other columns
+    are not written to the checkpoint folder.
+    """
+    names = list(dict.fromkeys([*keys, *order]))
+    seq = Ordered(rows.select(*names), keys, order, max_group_rows)
+    if not seq.split:
+        seq.df = rows
+        return seq.position(name).done()
+    places = seq.position(name).done().select(*[F.col(n).alias(f"_r_{n}") for n in names], name)
+    cond = F.lit(True)
+    for n in names:
+        cond = cond & F.col(n).eqNullSafe(F.col(f"_r_{n}"))
+    return rows.join(places, cond).drop(*[f"_r_{n}" for n in names])
+
+
 def seconds_between(start: str | Column, end: str | Column) -> Column:
     """Seconds from ``start`` to ``end`` as a double, for timestamps with or without zone."""
     a = F.col(start) if isinstance(start, str) else start
@@ -245,7 +257,7 @@ def minus_baseline(phases: DataFrame, baseline: str, keys: Sequence[str] = ("siz
 def minibatch_index(rows: DataFrame, batch: int, order: Sequence[str], keys: Sequence[str] = (),
                     drop_last: bool = False, max_group_rows: int | None = None) -> DataFrame:
     """Add the minibatch number by position; ``drop_last`` leaves out a short final batch."""
-    out = Ordered(rows, keys, order, max_group_rows).position("_pos").done()
+    out = with_positions(rows, keys, order, "_pos", max_group_rows)
     out = out.withColumn("batch", F.floor(F.col("_pos") / batch))
     if drop_last:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -275,7 +287,7 @@ def job_gantt(jobs: DataFrame, start: str = "start_time", end: str = "end_time",
               model: str = "model") -> DataFrame:
     """Bars of a job chart: hours since the first start, length, and models numbered by first appearance."""
     first = jobs.groupBy(model).agg(F.min(start).alias("_seen"))
-    # one row per model, a configuration count, so the unpartitioned window stays small
-    numbered = first.withColumn("ordinal", F.row_number().over(Window.orderBy("_seen", model))).drop("_seen")
+    numbered = Ordered(first, [], ["_seen", model]).position("ordinal").done().select(
+        model, (F.col("ordinal") + 1).alias("ordinal"))
     out = jobs.withColumn("total_time", seconds_between(start, end)).join(numbered, model)
     return relative_hours(out, [start, end]).withColumnRenamed(worker, "task")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mselect.functions.features import argmax
 from mselect.operators import packing as pack
+from mselect.operators.aggregates import ordered_values
 from mselect.plans.base import query, table
 from mselect.search import adaptive, spaces
 from mselect.session import cut_lineage
@@ -331,10 +332,11 @@ def hop_schedule(spark, d):
     return loops.schedule_by_place(models, 8, max(8, users.count()))
 
 
-@query("SELECT user_id AS model_key, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 60")
+@query("SELECT user_id AS model_key, count(DISTINCT event_id % 40) AS n FROM events GROUP BY 1 HAVING count(DISTINCT event_id % 40) >= 34")
 def stop_finished(spark, d):
-    states = table(spark, d, "events").groupBy(F.col("user_id").alias("model_key")).agg(F.collect_list("value").alias("history"))
-    return loops.stop_finished(states, 60).select("model_key", F.size("history").alias("n"))
+    epochs = table(spark, d, "events").groupBy(F.col("user_id").alias("model_key"), (F.col("event_id") % 40).alias("e")).agg(F.avg("value").alias("v"))
+    states = ordered_values(epochs, ["model_key"], "e", "v", "history")
+    return loops.stop_finished(states, 34).select("model_key", F.size("history").alias("n"))
 
 
 @query("WITH r AS (SELECT vec_id, (row_number() OVER (ORDER BY md5(concat('2018|', vec_id)), vec_id) - 1) // 32 AS batch FROM embeddings) SELECT vec_id AS id, batch, e AS epoch "
@@ -343,12 +345,13 @@ def epoch_dataset(spark, d):
     return loops.epoch_dataset(examples(spark, d).select("id"), 2018, 32, 3)
 
 
-@query("SELECT user_id AS model_id, max(n_name) AS model_name, count(*) AS n, 5 AS epochs FROM events JOIN nation ON n_nationkey = user_id GROUP BY 1")
+@query("SELECT user_id AS model_id, max(n_name) AS model_name, count(DISTINCT event_id % 5) AS n, 5 AS epochs FROM events JOIN nation ON n_nationkey = user_id GROUP BY 1")
 def join_info_summary(spark, d):
     from mselect.plans.reports import join_info_summary as report
 
     e = table(spark, d, "events")
-    info = e.groupBy(F.col("user_id").alias("model_id")).agg(F.collect_list("value").alias("validation_metrics"))
+    means = e.groupBy(F.col("user_id").alias("model_id"), (F.col("event_id") % 5).alias("e")).agg(F.avg("value").alias("v"))
+    info = ordered_values(means, ["model_id"], "e", "v", "validation_metrics")
     arch = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("model_id"), F.col("n_name").alias("name"))
     summary = e.agg(F.sort_array(F.collect_set((F.col("event_id") % 5 + 1).cast("int"))).alias("metrics_iters"))
     return report(info, summary, arch).select("model_id", "model_name", F.size("validation_metrics").alias("n"), F.size("metrics_iters").alias("epochs"))

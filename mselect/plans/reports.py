@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mselect.functions import logs
@@ -152,14 +152,13 @@ def search_report(ends: DataFrame, metrics: DataFrame, zero: Column, concurrency
     """Per batch of models the time axis in hours and every model's metric list.
 
     ``ends`` has (batch, epoch, end_time), ``metrics`` (mst_idx, validation_metrics). Batch i takes the i-th run of
-    ``epochs`` end times in (batch, epoch) order and the i-th run of ``concurrency`` models in key order. Both inputs
-    hold a row per epoch or model of one search, so numbering them is a small sort.
+    ``epochs`` end times in (batch, epoch) order and the i-th run of ``concurrency`` models in key order.
     """
-    timed = ends.withColumn("_p", F.row_number().over(Window.orderBy("batch", "epoch")) - 1)
+    timed = Ordered(ends, [], ["batch", "epoch"]).position("_p").done()
     axis = timed.groupBy(F.floor(F.col("_p") / epochs).alias("bag")).agg(
         F.sort_array(F.collect_list(F.struct("_p", (seconds_between(zero, F.col("end_time")) / 3600).alias("h")))).alias("_a"))
     axis = axis.select("bag", F.transform("_a", lambda p: p["h"]).alias("hours"))
-    numbered = metrics.withColumn("_p", F.row_number().over(Window.orderBy("mst_idx")) - 1)
+    numbered = Ordered(metrics, [], ["mst_idx"]).position("_p").done()
     bags = numbered.withColumn("bag", F.floor(F.col("_p") / concurrency)).drop("_p")
     return bags.join(axis, "bag", "left").select("bag", "mst_idx", "hours", "validation_metrics")
 
