@@ -47,7 +47,8 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stamp(c: str = "ts"):
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    """A timestamp to the second as text, whatever the session's zone."""
+    return F.left(F.col(c).cast("string"), F.lit(19))
 
 
 STAMP_SQL = "strftime(ts, '%Y-%m-%d %H:%M:%S')"

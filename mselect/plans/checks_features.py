@@ -291,7 +291,7 @@ def parse_kv(spark, d):
        "FROM events")
 def parse_event_line(spark, d):
     t = stamp()
-    unix = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("string")
+    unix = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")).cast("string")
     lines = spread(table(spark, d, "events").select("event_id", "ts", "event_type")).select(
         "event_id",
         logs.parse_event_line(F.concat(F.lit("INFO: "), "event_type", F.lit(": "), t, F.lit("  (seg0 slice1)")), "notice").alias("a"),

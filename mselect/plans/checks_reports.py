@@ -118,7 +118,7 @@ def run_time(spark, d):
        "CAST(u AS DOUBLE) AS unix_time, CASE WHEN event_type = 'view' THEN 'VALID' ELSE 'TRAIN' END AS mode, CASE WHEN event_type <> 'view' THEN value END AS train_loss, "
        "CASE WHEN event_type = 'view' THEN value END AS valid_loss, config FROM k WHERE event_type <> 'signup'")
 def model_log_table(spark, d):
-    unix = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("string")
+    unix = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")).cast("string")
     line = F.when(F.col("event_type") == "signup", F.concat(F.lit("MST: "), "props")).otherwise(F.concat(
         F.lit("UNIX TIME: "), unix, F.lit(", EPOCH: "), (F.col("event_id") % 5).cast("string"),
         F.when(F.col("event_type") == "view", ", VALID LOSS: ").otherwise(", TRAIN LOSS: "), F.col("value").cast("string")))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from mselect.session import ensure_checkpoint_dir, ship_package
+from mselect.session import ensure_checkpoint_dir
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -61,10 +63,14 @@ def stream_event_gaps(source: DataFrame, worker: str = "worker", time: str = "t"
     source's rate limit (``maxFilesPerTrigger``).
     """
     spark = source.sparkSession
-    ship_package(spark)
+    # the state runner on the driver does not see shipped packages, so the processor travels with its code
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     # keyed state of this kind needs the RocksDB store
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    rows = source.select(F.col(worker).cast("string").alias("worker"), F.unix_micros(F.col(time).cast("timestamp")).alias("micros"),
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    ntz = source.schema[time].dataType.typeName() == "timestamp_ntz"
+    micros = F.timestamp_diff("MICROSECOND", epoch, F.col(time)) if ntz else F.unix_micros(time)
+    rows = source.select(F.col(worker).cast("string").alias("worker"), micros.alias("micros"),
                          F.col(info).alias("info"), F.col(tie).cast("long").alias("tie"))
     gaps = rows.groupBy("worker").transformWithStateInPandas(
         statefulProcessor=_GapProcessor(), outputStructType=GAP_SCHEMA, outputMode="append", timeMode="none")
