@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mselect.llm import simhash
+from mselect.llm import packing, simhash, tokens
+from mselect.llm.common import written
 from mselect.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -17,3 +18,23 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, folder, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                       F.col("component").alias("component_id"))
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return tokens.token_counts(table(spark, folder, "documents"), vocabulary(), limit=512)
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 1024 tokens."""
+    pieces = tokens.token_pieces(table(spark, folder, "documents"), vocabulary(), capacity=1024, end_id=2)
+    digests = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return packing.pack(digests, 1024, ["doc_id", "piece", "start", "ids_crc32"])
