@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from mselect.llm.common import blocks_for, numbered
 
@@ -110,19 +111,19 @@ def places(chosen: list[tuple[Config, int]]) -> np.ndarray:
 def pack(pieces: DataFrame, capacity: int, order: Sequence[str], length: str = "length") -> DataFrame:
     """``pieces`` with (sequence_id, offset): as few sequences of at most ``capacity`` as the plan needs.
 
-    ``pieces`` is read more than once, so give a written table. ``length`` must be from 1 to ``capacity``; a null fails.
+    ``pieces`` is read more than once, so give a written table. ``length`` must be from 1 to ``capacity``; a row
+    without one is kept with no place.
     ``order`` are columns that tell rows apart; rows that agree in them are interchangeable. All columns are kept; columns
     named sequence_id or offset are replaced. An empty table gives an empty one.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # at most ``capacity`` rows
-    if None in counts:
-        raise ValueError("a piece has no length")
+    # at most ``capacity`` rows
+    counts = {r[0]: r[1] for r in pieces.where(F.col(length).isNotNull()).groupBy(length).count().collect()}
     table = places(plan(counts, capacity))
     span = 1 << 42  # more than pieces of a length can be
     starts = table[:, 0] * span + table[:, 1]
     send = pieces.sparkSession.sparkContext.broadcast((starts, table))
-    ranked = numbered(pieces, [length], F.struct(*order), list(order), blocks_for(max(counts.values(), default=0)), "_rank")
+    ranked = numbered(pieces.where(F.col(length).isNotNull()), [length], F.struct(*order), list(order), blocks_for(max(counts.values(), default=0)), "_rank")
     names = pieces.columns
 
     def run(batches):
@@ -138,8 +139,10 @@ def pack(pieces: DataFrame, capacity: int, order: Sequence[str], length: str = "
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(names)], pa.array(sequence), pa.array(own[:, 4] + slot * n)], [*names, "sequence_id", "offset"])
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.select(*names, "_rank").mapInArrow(run, schema)
+    schema = StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    none = pieces.where(F.col(length).isNull()).select(
+        "*", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
+    return ranked.select(*names, "_rank").mapInArrow(run, schema).unionByName(none)
 
 
 def sequences(packed: DataFrame, ids: str = "ids") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mselect.llm import packing, simhash, tokens
-from mselect.llm.common import written
+from mselect.llm import chat, packing, sharding, simhash, tokens, warc
+from mselect.llm.common import shared_path, written
 from mselect.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -38,3 +38,40 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = tokens.token_pieces(table(spark, folder, "documents"), vocabulary(), capacity=1024, end_id=2)
     digests = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return packing.pack(digests, 1024, ["doc_id", "piece", "start", "ids_crc32"])
+
+
+@query
+def op4_lpt_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in one of eight shards of nearly equal bytes, equal texts together."""
+    out = sharding.shard(table(spark, folder, "documents"), 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op8_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as legacy archives, converted to WARC, written, and read back."""
+    archives = warc.pages_to_arc(table(spark, folder, "pages"))
+    marked = warc.mark_revisits(warc.arc_records(archives))
+    path = shared_path(archives, "warc")
+    warc.write_warc(marked, path)
+    return warc.read_warc(spark, path).select(
+        F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op8_arc_to_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS least FROM p GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> least THEN least END AS refers_to
+FROM p JOIN f USING (payload_digest)"""
+
+
+@query
+def op9_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation formatted in windows, read back from the formatted text."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.digests(chat.format_chats(rows.unionByName(more)))
