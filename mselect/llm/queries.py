@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mselect.llm import chat, packing, sharding, simhash, tokens, warc
+from mselect.llm import chat, decontam, html, packing, quality, sharding, simhash, tokens, warc
 from mselect.llm.common import shared_path, written
 from mselect.llm.registry import QUERIES, SQL, query, table
 
@@ -75,3 +75,31 @@ def op9_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
     return chat.digests(chat.format_chats(rows.unionByName(more)))
+
+
+@query
+def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, folder, "pages"))
+
+
+#: Documents whose n-grams are this much likelier in the raw corpus than in trusted text, in nats an n-gram, go.
+QUALITY_THRESHOLD = -0.15
+
+
+def trusted(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "labels").where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
+
+
+@query
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its counts, its likelihood ratio and whether it is kept."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = quality.judge(docs, trusted(spark, folder), QUALITY_THRESHOLD)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@query
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds a passage of."""
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

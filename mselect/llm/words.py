@@ -37,9 +37,12 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.
         row = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first word of each text with the total last) of all words of a slice."""
-    ink = _INK[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, inked: np.ndarray = _INK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first word of each text with the total last) of all words of a slice.
+
+    ``inked`` tells which bytes are parts of words.
+    """
+    ink = inked[data]
     if not len(ink):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     edge = np.zeros(len(ink) + 1, bool)
