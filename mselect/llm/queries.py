@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mselect.llm import chat, decontam, html, packing, quality, sharding, simhash, tokens, warc
+from mselect.llm import chat, ctw, decontam, html, packing, quality, sharding, simhash, tokens, warc
 from mselect.llm.common import shared_path, written
 from mselect.llm.registry import QUERIES, SQL, query, table
 
@@ -103,3 +103,10 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each document and benchmark item that it holds a passage of."""
     return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op2_context_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's log10 probability by context-tree weighting and by the word baseline."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return ctw.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
