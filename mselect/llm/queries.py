@@ -32,14 +32,19 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(table(spark, folder, "documents"), vocabulary(), limit=512)
 
 
-@query
-def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 1024 tokens."""
-    pieces = tokens.token_pieces(table(spark, folder, "documents"), vocabulary(), capacity=1024, end_id=2)
+    pieces = tokens.token_pieces(docs, vocabulary(), capacity=1024, end_id=2)
     digests = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return packing.pack(digests, 1024, ["doc_id", "piece", "start", "ids_crc32"])
 
 
+@query
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in as few sequences as the plan needs."""
+    return packed(table(spark, folder, "documents"))
+
+
 @query
 def op4_lpt_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in one of eight shards of nearly equal bytes, equal texts together."""
@@ -109,4 +114,4 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op2_context_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's log10 probability by context-tree weighting and by the word baseline."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return ctw.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    return ctw.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, depth=5)
