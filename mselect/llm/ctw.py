@@ -265,7 +265,7 @@ def hot_rows(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return table["key"].to_numpy().view(np.uint64), table["value"].to_numpy()
 
 
-def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", depth: int = 5, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", depth: int = 6, hot: int = HOT) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
     ``held_out`` is a boolean column expression over ``docs``; rows where it isn't true are learned from. ``score`` is the

@@ -1,7 +1,7 @@
 """Quality rules in DataFrame functions alone: repetition counts, and a log-likelihood ratio of hashed n-grams.
 
-Words and pairs of words are hashed to buckets. Two multinomials over the buckets, one of trusted documents and one of all, are
-smoothed by one a bucket; a document's score is the mean log ratio of its n-grams, and one fixed threshold decides. Every document counts
+Words and pairs of words are hashed to buckets, which have two multinomials: one of all documents, smoothed by one a bucket, and one of
+trusted documents, smoothed by ``PRIOR`` n-grams as all documents have them, so that little trusted text says little. A document's score is the mean log ratio of its n-grams, and one fixed threshold decides. Every document counts
 and is scored whole; the only thing that is gathered is one number a bucket.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mselect.llm.common import written
 
 BUCKETS = 1 << 16  # a power of two
+PRIOR = 4 * BUCKETS
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -82,8 +83,9 @@ def ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
     every = written(every, "buckets")
     sums = every.agg(F.sum("all").alias("n_all"), F.sum("ours").alias("n_ours")).first()  # two numbers
-    return every.select("bucket", (F.log((F.col("ours") + 1) / F.lit(float(sums["n_ours"] + BUCKETS)))
-                                   - F.log((F.col("all") + 1) / F.lit(float(sums["n_all"] + BUCKETS)))).alias("ratio"))
+    raw = (F.col("all") + 1) / F.lit(float(sums["n_all"] + BUCKETS))
+    ours = (F.col("ours") + PRIOR * raw) / F.lit(float(sums["n_ours"] + PRIOR))
+    return every.select("bucket", F.log(ours / raw).alias("ratio"))
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,8 +93,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float, key: str = "doc
 
     base_failed: under 20 words, or over 30 % of them in repeated windows. kept: not that, and a score of ``threshold`` at least. A text
     without words has no score and fails. Null texts have no words; rows with null keys are scored, but can't be trusted; repeated rows are
-    judged alike. Columns of ``docs`` with the names of new ones are replaced. Without trusted documents all n-grams score as the
-    smoothing has them.
+    judged alike. Columns of ``docs`` with the names of new ones are replaced. Without trusted documents all n-grams score 0.
     """
     # one number a bucket, whatever the input: a constant of the plan
     table = [0.0] * BUCKETS

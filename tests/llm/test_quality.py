@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from mselect.llm import quality
-from mselect.llm.quality import BUCKETS, judge, ratios
+from mselect.llm.quality import BUCKETS, PRIOR, judge, ratios
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lam mu nu xi pi rho sigma tau phi chi psi omega".split()
 TEXTS = [
@@ -56,13 +56,18 @@ def test_counts_scores_and_verdicts(spark):
         every.update(buckets(t))
         if i in (4, 11):
             ours.update(buckets(t))
-    n_ours, n_all = sum(ours.values()) + BUCKETS, sum(every.values()) + BUCKETS
+    n_ours, n_all = sum(ours.values()) + PRIOR, sum(every.values()) + BUCKETS
+
+    def ratio(x):
+        raw = (every[x] + 1) / n_all
+        return math.log((ours[x] + PRIOR * raw) / n_ours / raw)
+
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(r.text)
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
         if r.text in usable and r.n_words:
             b = buckets(r.text)
-            want = sum(math.log((ours[x] + 1) / n_ours) - math.log((every[x] + 1) / n_all) for x in b) / len(b)
+            want = sum(map(ratio, b)) / len(b)
             assert r.score == pytest.approx(want, abs=1e-9)
         assert r.kept == (not r.base_failed and r.score is not None and r.score >= -0.05)
     assert {r.score for r in got if r.text is None} == {None}
@@ -73,7 +78,7 @@ def test_no_trusted_documents_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long")
     assert ratios(docs, none).count() == BUCKETS
-    assert judge(docs, none, 0.0).collect()[0].kept is False
+    assert judge(docs, none, 0.0).collect()[0].score == pytest.approx(0)
     assert judge(docs.limit(0), none, 0.0).collect() == []
 
 
