@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mselect.llm.common import arrow_map
+from mselect.llm.common import written
 
 END = "\r\n\r\n"
 #: Header fields of the two versions, as the archives name them.
@@ -138,7 +138,8 @@ def mark_revisits(records: DataFrame, least_bytes: int = 100) -> DataFrame:
     Of records with equal payloads of at least ``least_bytes`` those with the smallest source_id are responses and the others revisit the
     first of these; all others are responses. Only identifiers are compared and grouped; payloads travel once, by source_id.
     """
-    ids = records.where(F.col("payload_bytes") >= least_bytes).select("source_id", "record_id", "payload_digest", "uri", "date")
+    ids = written(records.where(F.col("payload_bytes") >= least_bytes).select(
+        "source_id", "record_id", "payload_digest", "uri", "date"), "identifiers")
     first = ids.where(F.col("source_id").isNotNull()).groupBy("payload_digest").agg(
         F.min(F.struct("source_id", "record_id", "uri", "date")).alias("first"), F.count(F.lit(1)).alias("_n"))
     first = first.where("_n > 1").drop("_n")
