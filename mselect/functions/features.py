@@ -182,12 +182,11 @@ def argmax(a: str | Column) -> Column:
 
 def label_index(df: DataFrame, label: str, prefix: str = "n", name: str = "label_id") -> DataFrame:
     """Add a dense 0-based number per label, in sorted label order, for labels that start with ``prefix``."""
-    from mselect.operators.relational import broadcast_if_small
     from mselect.operators.sequence import Ordered
 
     kept = df.where(F.col(label).startswith(prefix)) if prefix else df
     numbered = Ordered(kept.select(label).distinct(), [], [label]).position(name).done()
-    return kept.join(broadcast_if_small(numbered.withColumn(name, F.col(name).cast("int"))), label)
+    return kept.join(numbered.withColumn(name, F.col(name).cast("int")), label)
 
 
 def standardize(x: str | Column, mean: Sequence[float], std: Sequence[float], scale: float = 255.0) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -87,7 +90,10 @@ def parse_percent(line: str | Column, place: int) -> Column:
 
 
 def parse_disk(line: str | Column) -> Column:
-    """Array of two device structs (device, tps, rates, cumulative MB) from the text after the header words."""
+    """Array of two device structs (device, tps, rates, cumulative MB) from the text after the header words.
+
+    One bad field makes the whole record null.
+    """
     c = col(line)
     tokens = F.split(F.substring_index(c, DISK_MARK, -1), " ")
 
@@ -96,8 +102,10 @@ def parse_disk(line: str | Column) -> Column:
                    for i, n in enumerate(DISK_FIELDS)]
         return F.struct(F.get(tokens, F.lit(at)).alias("device"), *numbers)
 
-    both = F.filter(F.array(device(0), device(6)), lambda d: (d["device"] != "") & d["MB_wrtn"].isNotNull())
-    return F.when(c.contains(DISK_MARK), both)
+    both = F.array(device(0), device(6))
+    names = [n.replace("/", "_per_") for n in DISK_FIELDS]
+    good = F.forall(both, lambda d: (F.coalesce(d["device"], F.lit("")) != "") & reduce(and_, (d[n].isNotNull() for n in names)))
+    return F.when(c.contains(DISK_MARK) & good, both)
 
 
 def names_interface(line: str | Column) -> Column:
@@ -125,6 +133,7 @@ def keep_lines(lines: DataFrame, any_of: list[str] = (), none_of: list[str] = ()
     return lines.where(cond)
 
 
-def worker_markers(worker: int, style: str) -> list[str]:
-    """Text that marks the lines of one worker in a shared log."""
-    return [f"WORKER: {worker}"] if style == "unix" else [f"seg{worker}"]
+def lines_of_worker(lines: DataFrame, worker: int, style: str, column: str = "value") -> DataFrame:
+    """The lines of a shared log that name a worker by ``WORKER: n`` (style unix) or ``segn``; the number is compared whole."""
+    mark = r"WORKER: (\d+)" if style == "unix" else r"seg(\d+)"
+    return lines.where(F.regexp_extract(column, mark, 1) == str(worker))

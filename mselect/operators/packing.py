@@ -24,7 +24,7 @@ def class_values(df: DataFrame, y: str = "y") -> list:
 
 
 def pack(df: DataFrame, buffer_size: int, keys: int, classes: Sequence, norm: float = 1.0, id: str = "id", x: str = "x",
-         y: str = "y", dist: Column | None = None, max_group_rows: int | None = None) -> DataFrame:
+         y: str = "y", dist: Column | None = None, blocks: int | None = None) -> DataFrame:
     """Rows (id, x, y) to buffers of at most ``buffer_size`` rows, spread over ``keys`` distribution keys.
 
     Buffers of a key are full but for the last one. y becomes one row of the identity matrix over ``classes``; an
@@ -35,7 +35,7 @@ def pack(df: DataFrame, buffer_size: int, keys: int, classes: Sequence, norm: fl
     lookup = F.map_from_arrays(F.array(*map(F.lit, classes)), F.sequence(F.lit(0), F.lit(len(classes) - 1)))
     code = F.try_element_at(lookup, F.col(y))
     rows = df.select(dist.cast("int").alias("dist_key"), F.col(id).alias("_id"), F.col(x).alias("_x"), code.alias("_c"))
-    placed = with_positions(rows, ["dist_key"], ["_id"], "_pos", max_group_rows)
+    placed = with_positions(rows, ["dist_key"], ["_id"], "_pos", blocks)
     features = F.col("_x") if norm == 1.0 else normalize_array("_x", norm)
     cell = F.struct(F.col("_pos").alias("p"), features.cast("array<float>").alias("x"), F.col("_c").alias("c"))
     # a group is one buffer, so at most buffer_size rows come together
@@ -65,8 +65,9 @@ def pack_train(df: DataFrame, buffer_size: int, keys: int, **options) -> tuple[D
 def pack_valid(df: DataFrame, summary: DataFrame, buffer_size: int, keys: int, **options) -> DataFrame:
     """Packed validation table that encodes labels with the training classes; keeps the ``unseen`` count."""
     row = summary.first()
-    kind = df.schema[options.get("y", "y")].dataType.typeName()
-    classes = [c if kind == "string" else int(c) for c in row["class_values"]]
+    kind = df.schema[options.get("y", "y")].dataType
+    texts = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(row["class_values"])], "i INT, c STRING")
+    classes = [r["c"] for r in texts.select("i", F.col("c").cast(kind)).orderBy("i").collect()]
     return pack(df, buffer_size, keys, classes, norm=row["normalizing_const"], **options)
 
 
@@ -79,20 +80,20 @@ def unpack(packed: DataFrame, keep: Sequence[str] = ("dist_key", "buffer_id")) -
         *keep, "offset", F.col("_r.x").alias("x"), F.col("_r.y").alias("y"))
 
 
-def _buffer_starts(packed: DataFrame, key: str, max_group_rows: int | None) -> DataFrame:
+def _buffer_starts(packed: DataFrame, key: str, blocks: int | None) -> DataFrame:
     sizes = packed.select(key, "buffer_id", F.element_at("dependent_var_shape", 1).cast("long").alias("_n"))
-    return Ordered(sizes, [key], ["buffer_id"], max_group_rows).running({"_end": ("sum", "_n")}).done().withColumn(
+    return Ordered(sizes, [key], ["buffer_id"], blocks).running({"_end": ("sum", "_n")}).done().withColumn(
         "_start", F.col("_end") - F.col("_n"))
 
 
 def flat_index(packed: DataFrame, length: int | None = None, key: str = "dist_key",
-               max_group_rows: int | None = None) -> DataFrame:
+               blocks: int | None = None) -> DataFrame:
     """Position of every example of a key: (key, i, buffer_id, offset).
 
     With ``length`` (training) positions run to that number, wrapping around the true length; a true length above it
     is cut, as an index that long is all a reader asks for. Only buffer shapes are read.
     """
-    starts = _buffer_starts(packed, key, max_group_rows)
+    starts = _buffer_starts(packed, key, blocks)
     offsets = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
     rows = starts.where("_n > 0").select(key, "buffer_id", "_start", F.explode(offsets).alias("offset"))
     rows = rows.withColumn("_at", F.col("_start") + F.col("offset"))

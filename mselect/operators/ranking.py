@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from mselect.operators.aggregates import mean_by, mean_by_epoch_mode, mean_by_epoch_model
 
 # Rows around a sampling cut that one task may sort.
-CUT_ROWS = 1_000_000
-
-
 def sort_configs(configs: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Model, then batch size, then enumeration order."""
     return configs.orderBy("model", "batch_size", ordinal)
@@ -89,15 +86,14 @@ def shuffle(df: DataFrame, seed: int, *keys: str) -> DataFrame:
     return df.orderBy(_digest(seed, *keys), *keys)
 
 
-def sample_exact(df: DataFrame, fraction: float = 0.025, seed: int = 42, key: str = "id",
-                 cut_rows: int = CUT_ROWS) -> DataFrame:
+def sample_exact(df: DataFrame, fraction: float = 0.025, seed: int = 42, key: str = "id") -> DataFrame:
     """Exactly round(fraction x rows) rows without replacement, chosen by the seeded digest of a unique key.
 
-    The digest value that separates chosen from other rows is found from counts of digest prefixes (a bounded number of
-    groups), narrowed until the rows that share the boundary prefix fit one task. The result is then a plain filter:
-    no sort and no shuffle of the table.
+    The digest prefix that separates chosen from other rows is found from counts of prefixes (a bounded number of groups),
+    lengthened until the count is met. The result is then a plain filter: no sort and no shuffle of the table. A key that
+    repeats just at the boundary, so that no digest separates the rows, is an error.
     """
-    tagged = df.select(F.col(key), _digest(seed, key).alias("_d"))
+    tagged = df.select(_digest(seed, key).alias("_d"))
     prefix, want, inside = "", None, tagged
     while True:
         width = len(prefix) + 4
@@ -111,16 +107,11 @@ def sample_exact(df: DataFrame, fraction: float = 0.025, seed: int = 42, key: st
             if want <= n:
                 break
             want -= n
+        if want == n:
+            return df.where(F.substring(_digest(seed, key), 1, width) <= prefix)
+        if width >= 32:
+            raise ValueError(f"column {key!r} repeats a value {n} times at the boundary; sample_exact needs a unique key")
         inside = tagged.where(F.substring("_d", 1, width) == prefix)
-        if n <= cut_rows or width >= 32:
-            break
-    if n > cut_rows:
-        raise ValueError(f"column {key!r} repeats one value {n} times; sample_exact needs a unique key")
-    last = inside.orderBy("_d", key).limit(want).agg(F.max(F.struct("_d", key)).alias("m"), F.count("*").alias("n")).first()
-    edge_digest, edge_key = last["m"]["_d"], last["m"][key]
-    d = _digest(seed, key)
-    chosen = df.where((d < edge_digest) | ((d == edge_digest) & (F.col(key) <= F.lit(edge_key))))
-    return chosen
 
 
 def split_rows(df: DataFrame, fraction: float = 0.1, seed: int = 2018, keys: Sequence[str] = ("id",)) -> DataFrame:

@@ -7,15 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A lookup side is broadcast only after its rows were counted and found below this.
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side whose counted rows stay under the bound; otherwise leave the choice of join to Spark."""
-    small = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if small else df
-
 
 def target_partition(df: DataFrame, key: int, column: str = "dist_key") -> DataFrame:
     """Rows of one distribution key; prunes files when the table is partitioned by it."""
@@ -97,7 +88,7 @@ def relabel(files: DataFrame, truth: DataFrame, mapping: DataFrame) -> DataFrame
     A file without truth or an index without a line fails the job.
     """
     found = files.join(truth, "file", "left").join(
-        broadcast_if_small(mapping), F.col("class_index") == F.col("line"), "left").drop("line")
+        mapping, F.col("class_index") == F.col("line"), "left").drop("line")
     fail = F.raise_error(F.concat(F.lit("no label for "), F.col("file").cast("string"))).cast("string")
     return found.withColumn("label_text", F.coalesce("label_text", fail))
 
@@ -109,7 +100,7 @@ def semi_members(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> Dat
 
 def map_events(events: DataFrame, semantics: DataFrame, strict: bool = True) -> DataFrame:
     """Add the phase of every event from a table (event, phase); an unknown event fails the job when strict."""
-    joined = events.join(broadcast_if_small(semantics), "event", "left")
+    joined = events.join(semantics, "event", "left")
     if not strict:
         return joined
     fail = F.raise_error(F.concat(F.lit("unknown event "), F.col("event"))).cast("string")
@@ -152,7 +143,7 @@ def by_host_counts(segments: DataFrame, devices: DataFrame, host: str = "hostnam
     # both sides of the wide join are one row per host
     counts = on_host.join(per_host, host, "left").select(
         host, "segments", F.coalesce("devices", F.lit(0)).alias("devices"))
-    out = primary.select(host, F.col("content").alias("segment_id")).join(broadcast_if_small(counts), host)
+    out = primary.select(host, F.col("content").alias("segment_id")).join(counts, host)
     return out.withColumn("shared", (F.col("devices") > 0) & (F.col("devices") < F.col("segments")))
 
 

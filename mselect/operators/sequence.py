@@ -1,10 +1,8 @@
 """Work that depends on row order: neighbours, running values, positions and what is built on them.
 
-A window over a key sorts all rows of the key in one task. That is the right plan while every key is small, and the
-wrong one when a key holds a third of the table. ``Ordered`` counts first: while the largest key stays under
-``max_group_rows`` it uses one plain window, otherwise it range-partitions on (key, order) so that a large key spans
-many blocks, computes inside the blocks, and carries one summary row per (key, block) across block borders. Results are
-the same either way.
+``Ordered`` range-partitions rows on (key, order), so that a large key spans many blocks, computes inside the blocks, and
+carries one summary row per (key, block) across block borders. No task sorts more than a block, however many rows a key
+has.
 """
 
 from __future__ import annotations
@@ -16,7 +14,6 @@ from pyspark.sql import functions as F
 
 from mselect.session import cut_lineage
 
-MAX_GROUP_ROWS = 4_000_000
 _BLOCK = "_block"
 _INF = Window.unboundedPreceding
 
@@ -24,29 +21,19 @@ _INF = Window.unboundedPreceding
 class Ordered:
     """A DataFrame seen as one ordered sequence per key. ``order`` must be a total order inside a key.
 
-    ``sized`` may name a table that is cheaper to count and has at least as many rows of every key, such as the lines
-    that ``df`` was parsed from.
+    ``blocks`` is the number of range partitions, that of shuffle partitions if not given. The rows are written to the
+    checkpoint folder once, so wide columns that an operation doesn't need are better left out.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], max_group_rows: int | None = None,
-                 sized: DataFrame | None = None):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None = None):
         self.keys, self.order = list(keys), list(order)
-        limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-        sizes = (df if sized is None else sized).groupBy(*self.keys).count().agg(F.max("count"), F.sum("count")).first()
-        largest, total = sizes[0] or 0, sizes[1] or 0
-        self.split = largest > limit
-        if self.split:
-            width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            blocks = max(width, -(-total // limit))
-            # the block number must not change between the branches below, so it is written once
-            df = cut_lineage(
-                df.repartitionByRange(blocks, *self.keys, *self.order).withColumn(_BLOCK, F.spark_partition_id())
-            )
-        self.df = df
+        blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # the block number must not change between the branches below, so it is written
+        self.df = cut_lineage(
+            df.repartitionByRange(blocks, *self.keys, *self.order).withColumn(_BLOCK, F.spark_partition_id()))
 
     def _inside(self):
-        keys = [*self.keys, _BLOCK] if self.split else self.keys
-        return Window.partitionBy(*keys).orderBy(*self.order)
+        return Window.partitionBy(*self.keys, _BLOCK).orderBy(*self.order)
 
     def _attach(self, carry: DataFrame) -> DataFrame:
         names = [*self.keys, _BLOCK]
@@ -58,10 +45,6 @@ class Ordered:
 
     def shift(self, columns: Mapping[str, str], steps: int = 1) -> "Ordered":
         """Add, for every ``new: old``, the value ``steps`` rows earlier (later when negative), null past the ends."""
-        if not self.split:
-            w = self._inside()
-            self.df = self.df.withColumns({new: F.lag(old, steps).over(w) for new, old in columns.items()})
-            return self
         back = steps > 0
         for turn in range(abs(steps)):
             source = columns if turn == 0 else {new: new for new in columns}
@@ -90,9 +73,6 @@ class Ordered:
                  "last": lambda c: F.last(c, ignorenulls=True)}
         w = self._inside().rowsBetween(_INF, 0)
         inside = {new: plain[kind](col).over(w) for new, (kind, col) in values.items()}
-        if not self.split:
-            self.df = self.df.withColumns(inside)
-            return self
         per_block = []
         for new, (kind, col) in values.items():
             if kind == "last":
@@ -122,9 +102,6 @@ class Ordered:
 
     def position(self, name: str = "pos") -> "Ordered":
         """Add the 0-based place of each row inside its key."""
-        if not self.split:
-            self.df = self.df.withColumn(name, F.row_number().over(self._inside()).cast("long") - 1)
-            return self
         self.df = self.df.withColumn("_one", F.lit(1))
         self.running({name: ("count", "_one")})
         self.df = self.df.withColumn(name, F.col(name) - 1).drop("_one")
@@ -135,17 +112,14 @@ class Ordered:
 
 
 def with_positions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos",
-                   max_group_rows: int | None = None) -> DataFrame:
+                   blocks: int | None = None) -> DataFrame:
     """Add the 0-based place of each row inside its key, for rows that may be wide.
 
-    When keys must be split, places are found on the key and order columns alone and joined back, so the other columns
-    are not written to the checkpoint folder.
+    Places are found on the key and order columns alone and joined back, so the other columns are not written to the
+    checkpoint folder.
     """
     names = list(dict.fromkeys([*keys, *order]))
-    seq = Ordered(rows.select(*names), keys, order, max_group_rows)
-    if not seq.split:
-        seq.df = rows
-        return seq.position(name).done()
+    seq = Ordered(rows.select(*names), keys, order, blocks)
     places = seq.position(name).done().select(*[F.col(n).alias(f"_r_{n}") for n in names], name)
     cond = F.lit(True)
     for n in names:
@@ -161,9 +135,9 @@ def seconds_between(start: str | Column, end: str | Column) -> Column:
 
 
 def event_gaps(log: DataFrame, worker: str = "worker", time: str = "t", info: str = "info", tie: str = "pos",
-               max_group_rows: int | None = None, sized: DataFrame | None = None) -> DataFrame:
+               blocks: int | None = None) -> DataFrame:
     """Adjacent events of a worker as (worker, event, seconds); equal times keep line order."""
-    seq = Ordered(log.select(worker, time, info, tie), [worker], [time, tie], max_group_rows, sized)
+    seq = Ordered(log.select(worker, time, info, tie), [worker], [time, tie], blocks)
     out = seq.shift({"_t0": time, "_info0": info}).done().where(F.col("_t0").isNotNull())
     return out.select(
         worker,
@@ -173,13 +147,13 @@ def event_gaps(log: DataFrame, worker: str = "worker", time: str = "t", info: st
 
 
 def fill_config(lines: DataFrame, config: Column, keys: Sequence[str], order: Sequence[str], name: str = "config",
-                max_group_rows: int | None = None) -> DataFrame:
+                blocks: int | None = None) -> DataFrame:
     """Carry the latest non-null ``config`` forward inside a file; null before the first one."""
-    seq = Ordered(lines.withColumn("_cfg", config), keys, order, max_group_rows)
+    seq = Ordered(lines.withColumn("_cfg", config), keys, order, blocks)
     return seq.running({name: ("last", "_cfg")}).done().drop("_cfg")
 
 
-def run_intervals(log: DataFrame, method: str, find_first: bool = False, max_group_rows: int | None = None) -> DataFrame:
+def run_intervals(log: DataFrame, method: str, find_first: bool = False, blocks: int | None = None) -> DataFrame:
     """The last start/end pair of a run in a global log (columns ``pos``, ``value``) as one row.
 
     Only lines naming the method count, unless ``find_first``. A start opens an interval, an end closes it, and any
@@ -196,7 +170,7 @@ def run_intervals(log: DataFrame, method: str, find_first: bool = False, max_gro
         F.when(is_start, F.lit("start")).when(is_end, F.lit("end")).otherwise(F.lit("other")).alias("kind"),
         F.when(is_start | is_end, when).alias("t"),
     ).withColumn("opened", F.when(F.col("kind") != "end", F.struct("kind", "t")))
-    seq = Ordered(tagged, [], ["pos"], max_group_rows).running({"opener": ("last", "opened")}).done()
+    seq = Ordered(tagged, [], ["pos"], blocks).running({"opener": ("last", "opened")}).done()
     ends = seq.where(F.col("kind") == "end").select(
         "pos", F.when(F.col("opener.kind") == "start", F.col("opener.t")).alias("start_time"), F.col("t").alias("end_time")
     )
@@ -204,16 +178,16 @@ def run_intervals(log: DataFrame, method: str, find_first: bool = False, max_gro
 
 
 def running_mean(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "running",
-                 max_group_rows: int | None = None) -> DataFrame:
+                 blocks: int | None = None) -> DataFrame:
     """Mean of all values up to each row."""
-    seq = Ordered(rows, keys, order, max_group_rows).running({"_s": ("sum", value), "_n": ("count", value)})
+    seq = Ordered(rows, keys, order, blocks).running({"_s": ("sum", value), "_n": ("count", value)})
     return seq.done().withColumn(name, F.col("_s") / F.col("_n")).drop("_s", "_n")
 
 
 def best_so_far(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "best",
-                max_group_rows: int | None = None) -> DataFrame:
+                blocks: int | None = None) -> DataFrame:
     """Smallest value seen up to each row."""
-    return Ordered(rows, keys, order, max_group_rows).running({name: ("min", value)}).done()
+    return Ordered(rows, keys, order, blocks).running({name: ("min", value)}).done()
 
 
 def _first_by(rows: DataFrame, keys: Sequence[str], size: str, values: Sequence[str]) -> DataFrame:
@@ -255,9 +229,9 @@ def minus_baseline(phases: DataFrame, baseline: str, keys: Sequence[str] = ("siz
 
 
 def minibatch_index(rows: DataFrame, batch: int, order: Sequence[str], keys: Sequence[str] = (),
-                    drop_last: bool = False, max_group_rows: int | None = None) -> DataFrame:
+                    drop_last: bool = False, blocks: int | None = None) -> DataFrame:
     """Add the minibatch number by position; ``drop_last`` leaves out a short final batch."""
-    out = with_positions(rows, keys, order, "_pos", max_group_rows)
+    out = with_positions(rows, keys, order, "_pos", blocks)
     out = out.withColumn("batch", F.floor(F.col("_pos") / batch))
     if drop_last:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

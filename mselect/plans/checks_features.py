@@ -9,7 +9,7 @@ from mselect.functions import configs as cfg
 from mselect.functions import features as feat
 from mselect.functions import logs
 from mselect.plans.base import (CLICK_CATEGORICAL, CLICK_NUMERIC, CLICKS_SQL, STAMP_SQL, bucket_sql, clicks, hash_sql,
-                                query, spread,
+                                query,
                                 stamp, table)
 from mselect.sources import readers, sinks
 
@@ -141,7 +141,7 @@ _BUCKETS = {"a": "l_partkey", "b": "CAST(floor(l_extendedprice) AS BIGINT)", "c"
 @query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"{bucket_sql('(' + e + ')')} AS {n}" for n, e in _BUCKETS.items())
        + " FROM lineitem")
 def bucketize(spark, d):
-    raw = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    raw = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     src = raw.selectExpr("l_orderkey", "l_linenumber", *[f"{e} AS {n}" for n, e in _BUCKETS.items()])
     return src.withColumns({n: feat.bucketize(n) for n in _BUCKETS})
 
@@ -244,8 +244,8 @@ _CONFIG = ["l_discount AS learning_rate", "CAST(concat(CAST(CAST(round(l_tax * 1
 
 
 def _configs(spark, d):
-    return spread(table(spark, d, "lineitem").select(
-        "l_orderkey", "l_discount", "l_tax", "l_quantity", "l_returnflag")).selectExpr("l_orderkey", *_CONFIG).select("l_orderkey", F.struct(
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_discount", "l_tax", "l_quantity", "l_returnflag").selectExpr("l_orderkey", *_CONFIG).select("l_orderkey", F.struct(
         "learning_rate", "lambda_value", "batch_size", "model").alias("c"))
 
 
@@ -279,7 +279,7 @@ def fit_params(spark, d):
 @query("SELECT event_id, event_type AS info, CAST(user_id AS VARCHAR) AS worker, CAST(NULL AS VARCHAR) AS missing FROM events")
 def parse_kv(spark, d):
     line = F.concat(F.lit("EVENT: "), "event_type", F.lit(", WORKER: "), F.col("user_id").cast("string"), F.lit(", broken, A: B: C"))
-    kv = spread(table(spark, d, "events").select("event_id", "event_type", "user_id")).select(
+    kv = table(spark, d, "events").select("event_id", "event_type", "user_id").select(
         "event_id", line.alias("line"), logs.parse_kv(line).alias("m"))
     same = logs.kv_value("line", "WORKER").eqNullSafe(F.col("m")["WORKER"]) & logs.kv_value("line", "A").isNull()
     return kv.where(same).select("event_id", F.col("m")["EVENT"].alias("info"), F.col("m")["WORKER"].alias("worker"),
@@ -292,7 +292,7 @@ def parse_kv(spark, d):
 def parse_event_line(spark, d):
     t = stamp()
     unix = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")).cast("string")
-    lines = spread(table(spark, d, "events").select("event_id", "ts", "event_type")).select(
+    lines = table(spark, d, "events").select("event_id", "ts", "event_type").select(
         "event_id",
         logs.parse_event_line(F.concat(F.lit("INFO: "), "event_type", F.lit(": "), t, F.lit("  (seg0 slice1)")), "notice").alias("a"),
         logs.parse_event_line(F.concat(F.lit("Run: "), "event_type", F.lit(": "), t), "client").alias("b"),
@@ -312,7 +312,7 @@ def parse_monitor_lines(spark, d):
     disk = F.concat(F.lit("Device tps MB_read/s MB_wrtn/s MB_read MB_wrtn sda 1.0 2.0 3.0 "), (F.col("value") + 1).cast("string"), F.lit(" "),
                     (F.col("value") + 2).cast("string"), F.lit(" sdb 0 0 0 0 "), u)
     net = F.concat(F.lit("EXPERIMENT_IFACE: eth1, rxkB/s: "), v, F.lit(", txkB/s: "), (F.col("value") * 2).cast("string"))
-    p = spread(table(spark, d, "events").select("event_id", "value", "user_id")).select("event_id", logs.parse_percent(cpu, 0).alias("cpu"), logs.parse_percent(cpu, 1).alias("memory"),
+    p = table(spark, d, "events").select("event_id", "value", "user_id").select("event_id", logs.parse_percent(cpu, 0).alias("cpu"), logs.parse_percent(cpu, 1).alias("memory"),
                                          logs.parse_disk(disk).alias("k"), logs.parse_net(net).alias("m"))
     k, m = F.col("k"), F.col("m")
     return p.select("event_id", "cpu", "memory", k[0]["device"].alias("dev"), k[0]["MB_read"].alias("mb_read"),

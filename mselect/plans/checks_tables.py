@@ -498,7 +498,7 @@ def shuffle(spark, d):
 @query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat('42|', o_orderkey)), o_orderkey) AS r, count(*) OVER () AS n FROM orders) "
        "WHERE r <= round_even(0.025 * n, 0)")
 def sample_exact(spark, d):
-    return rank.sample_exact(table(spark, d, "orders").select("o_orderkey"), 0.025, 42, "o_orderkey", cut_rows=100)
+    return rank.sample_exact(table(spark, d, "orders").select("o_orderkey"), 0.025, 42, "o_orderkey")
 
 
 @query("SELECT event_id, CAST(CAST('0x' || substr(md5(concat('2018|', event_id)), 1, 8) AS BIGINT) / 4294967296.0 < 0.1 AS INT) AS validation FROM events")

@@ -33,12 +33,12 @@ MODEL_LOG_FIELDS = {
 
 
 def model_log_table(lines: DataFrame, keys: Sequence[str] = ("file",), order: Sequence[str] = ("pos",),
-                    max_group_rows: int | None = None) -> DataFrame:
+                    blocks: int | None = None) -> DataFrame:
     """Value lines of model logs with their numbers, mode, model key (from the file name) and configuration."""
     v = F.col("value")
     kept = lines.where(v.contains("MST") | v.contains("UNIX TIME"))
     config = F.when(v.contains("MST"), F.get(F.split(v, ": "), F.lit(1)))
-    filled = fill_config(kept, config, keys, order, "config", max_group_rows).where(v.contains("UNIX TIME"))
+    filled = fill_config(kept, config, keys, order, "config", blocks).where(v.contains("UNIX TIME"))
     parsed = filled.withColumn("_kv", logs.parse_kv("value", strict=True))
     mode = F.when(F.map_contains_key("_kv", F.lit("VALID LOSS")), "VALID").when(
         F.map_contains_key("_kv", F.lit("TRAIN LOSS")), "TRAIN")
@@ -52,11 +52,11 @@ def model_log_table(lines: DataFrame, keys: Sequence[str] = ("file",), order: Se
 
 
 def phase_breakdown(lines: DataFrame, semantics: DataFrame, style: str = "notice", worker: str = "worker",
-                    strict: bool = True, max_group_rows: int | None = None) -> DataFrame:
+                    strict: bool = True, blocks: int | None = None) -> DataFrame:
     """Seconds per phase of a log with columns (worker, pos, value)."""
     event = logs.parse_event_line("value", style)
     parsed = lines.select(worker, "pos", event.alias("e")).select(worker, "pos", "e.info", "e.t").where("t IS NOT NULL")
-    gaps = event_gaps(parsed, worker, "t", "info", "pos", max_group_rows, sized=lines)
+    gaps = event_gaps(parsed, worker, "t", "info", "pos", blocks)
     if not strict:
         by_event = gaps.groupBy("event").agg(F.sum("seconds").alias("seconds"))
         return by_event.join(semantics, "event").groupBy("phase").agg(F.sum("seconds").alias("seconds"))
@@ -88,12 +88,12 @@ def per_epoch_breakdown(phases: DataFrame, baseline: str = "ctq", keys: Sequence
 
 
 def monitor_records(lines: DataFrame, follow: int, keys: Sequence[str] = ("worker", "file"),
-                    order: Sequence[str] = ("pos",), max_group_rows: int | None = None) -> DataFrame:
+                    order: Sequence[str] = ("pos",), blocks: int | None = None) -> DataFrame:
     """Records of a timestamp line and the next ``follow`` lines: (keys, t, v1[, v2]).
 
     A timestamp line without its value lines is skipped by itself and reading goes on at the next line.
     """
-    seq = Ordered(lines, keys, order, max_group_rows)
+    seq = Ordered(lines, keys, order, blocks)
     for i in range(1, follow + 1):
         seq.shift({f"v{i}": "value"}, -i)
     values = [f"v{i}" for i in range(1, follow + 1)]
@@ -104,9 +104,9 @@ def monitor_records(lines: DataFrame, follow: int, keys: Sequence[str] = ("worke
 
 
 def pair_records(lines: DataFrame, kind: str, keys: Sequence[str] = ("worker", "file"), order: Sequence[str] = ("pos",),
-                 max_group_rows: int | None = None) -> DataFrame:
+                 blocks: int | None = None) -> DataFrame:
     """Parsed monitor records. cpu/gpu: utilization and memory; disk: a row per device; network: a row per interface."""
-    raw = monitor_records(lines, 2 if kind == "network" else 1, keys, order, max_group_rows)
+    raw = monitor_records(lines, 2 if kind == "network" else 1, keys, order, blocks)
     head = [*keys, "t"]
     if kind in ("cpu", "gpu"):
         return raw.select(*head, logs.parse_percent("v1", 0).alias("utilization"),
@@ -142,9 +142,9 @@ def network_report(lines: DataFrame, start: str, end: str, **options) -> tuple[D
     return agg.network_stats(rows), agg.network_total(rows, seconds)
 
 
-def run_time(global_log: DataFrame, method: str, find_first: bool = False, max_group_rows: int | None = None) -> DataFrame:
+def run_time(global_log: DataFrame, method: str, find_first: bool = False, blocks: int | None = None) -> DataFrame:
     """Hours from start to end of a run."""
-    span = run_intervals(global_log, method, find_first, max_group_rows)
+    span = run_intervals(global_log, method, find_first, blocks)
     return span.select((seconds_between("start_time", "end_time") / 3600).alias("hours"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +19,6 @@ CLICK_SCHEMA = T.StructType(
     + [T.StructField(f"_c{i}", T.StringType())
        for i in range(NUMERIC_FEATURES + 1, NUMERIC_FEATURES + CATEGORICAL_FEATURES + 1)]
 )
-_IMAGE_DIM = r".*/([^/]+)/([^/]+)$"
-
 
 def labeled(df: DataFrame, validation: bool) -> DataFrame:
     """Cast features and labels to float arrays and add the split flag."""
@@ -90,15 +90,17 @@ def check_one_shape(images: DataFrame, label: str, shape: Sequence[str]) -> Data
 
 
 def read_image_dirs(spark: SparkSession, root: str, num_labels: int | None = None) -> DataFrame:
-    """Images under ``root/<label>/``: (label, name, height, width, channels, x)."""
-    raw = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(root)
+    """Images under ``root/<label>/``: (label, name, height, width, channels, x). A file that is no image fails the job."""
+    raw = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(root)
     origin = F.col("image.origin")
+    folder = "/" + re.sub(r"^\w+:/*|^/+", "", root).rstrip("/")
+    tail = F.substring_index(origin, "/", -2)  # label/name
+    unreadable = F.raise_error(F.concat(F.lit("not an image: "), origin))
     images = raw.select(
-        F.regexp_extract(origin, _IMAGE_DIM, 1).alias("label"),
-        F.regexp_extract(origin, _IMAGE_DIM, 2).alias("img_name"),
-        F.col("image.height").alias("height"), F.col("image.width").alias("width"),
-        F.col("image.nChannels").alias("channels"), F.col("image.data").alias("x"),
-    ).where(F.size(F.split(F.regexp_replace(origin, r".*/" + root.rstrip("/").split("/")[-1] + "/", ""), "/")) == 2)
+        F.substring_index(tail, "/", 1).alias("label"), F.substring_index(tail, "/", -1).alias("img_name"),
+        F.when(F.col("image.height") < 0, unreadable.cast("int")).otherwise(F.col("image.height")).alias("height"),
+        F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("x"),
+    ).where(F.left(origin, F.length(origin) - F.length(tail) - 1).endswith(folder))
     if num_labels is not None:
         images = first_labels(images, "label", num_labels)
     return check_one_shape(images, "label", ["height", "width", "channels"])

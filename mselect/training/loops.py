@@ -38,7 +38,8 @@ def prepare(packed: DataFrame, keys: int) -> DataFrame:
     """The packed table partitioned and ordered by distribution key, kept for the steps to come."""
     ship_package(packed.sparkSession)
     spark = packed.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > 2**28:
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size) > 2**28:
         # the session default does not bound the bytes of an Arrow batch, and a buffer may be megabytes
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2**26))
     placed = packed.repartition(keys, "dist_key").sortWithinPartitions("dist_key", "buffer_id")
@@ -429,12 +430,12 @@ def stop_finished(states: DataFrame, epochs: int, history: str = "history") -> D
 
 
 def epoch_dataset(df: DataFrame, seed: int, batch: int, epochs: int, key: str = "id",
-                  max_group_rows: int | None = None) -> DataFrame:
+                  blocks: int | None = None) -> DataFrame:
     """Rows shuffled by the seed, cut into batches, repeated for each epoch: adds (batch, epoch)."""
     from mselect.operators.ranking import _digest
     from mselect.operators.sequence import minibatch_index
 
-    mixed = minibatch_index(df.withColumn("_o", _digest(seed, key)), batch, ["_o", key], max_group_rows=max_group_rows)
+    mixed = minibatch_index(df.withColumn("_o", _digest(seed, key)), batch, ["_o", key], blocks=blocks)
     return mixed.drop("_o").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
 
 

@@ -92,6 +92,8 @@ def test_disk_and_network_lines(spark):
     text = "Device: tps MB_read/s MB_wrtn/s MB_read MB_wrtn sda 1 2 3 40 50 sdb 1 2 3 4 5 "
     d = spark.range(1).select(logs.parse_disk(F.lit(text)).alias("d")).first().d
     assert [(x.device, x.MB_read, x.MB_wrtn) for x in d] == [("sda", 40.0, 50.0), ("sdb", 4.0, 5.0)]
+    for bad in (text.replace("sdb 1", "sdb x"), text.replace("sda 1 2", "sda 1 -"), text[:-5]):
+        assert spark.range(1).select(logs.parse_disk(F.lit(bad)).alias("d")).first().d is None
     n = spark.range(1).select(logs.parse_net(F.lit("CONTROL_IFACE: eth0, rxkB/s: 1.5, txkB/s: 2")).alias("n"), logs.parse_net(F.lit("x: 1")).alias("m")).first()
     assert n.n == {"rxkB/s": 1.5, "txkB/s": 2.0} and n.m is None
 
@@ -112,3 +114,9 @@ def test_unflatten_checks_length(spark):
     assert ok == [[1.0, 2.0], [3.0]]
     with pytest.raises(Exception, match="shapes"):
         df.select(arch.unflatten_weights("w", F.expr("array(array(4))"))).collect()
+
+
+def test_lines_of_one_worker_by_whole_number(spark):
+    lines = spark.createDataFrame([("a WORKER: 1, x",), ("WORKER: 10",), ("(seg1 host)",), ("(seg10 host)",), ("",)], "value string")
+    assert rows(logs.lines_of_worker(lines, 1, "unix")) == [("a WORKER: 1, x",)]
+    assert rows(logs.lines_of_worker(lines, 10, "db")) == [("(seg10 host)",)]

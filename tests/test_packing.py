@@ -15,7 +15,7 @@ def data(spark):
 
 @pytest.mark.parametrize("limit", [None, 5])
 def test_unpack_restores_rows(data, limit):
-    packed, summary = pack.pack_train(data, 8, 4, max_group_rows=limit)
+    packed, summary = pack.pack_train(data, 8, 4, blocks=limit)
     assert summary.first().class_values == ["a", "b", "c"]
     sizes = rows(packed.select("dist_key", "buffer_id", F.col("dependent_var_shape")[0]))
     for k in range(4):
@@ -45,7 +45,7 @@ def test_flat_index_wraps(spark):
     got = [r[1:] for r in rows(pack.flat_index(p, 7)) if r[0] == 0]
     assert got == [(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 1, 0), (4, 1, 1), (5, 0, 0), (6, 0, 1)]
     assert len(rows(pack.flat_index(p))) == 9
-    assert rows(pack.flat_index(p)) == rows(pack.flat_index(p, max_group_rows=1))
+    assert rows(pack.flat_index(p)) == rows(pack.flat_index(p, blocks=40))
 
 
 def test_bytes_round_trip(spark):
@@ -81,3 +81,12 @@ def test_hosts(spark):
     dev = spark.createDataFrame([("h1",), ("h3",), ("m",)], "hostname string")
     assert rows(rel.hosts_with_device(seg, dev)) == [("h1",)]
     assert rows(rel.by_host_counts(seg, dev).select("hostname", "segment_id", "devices", "shared")) == [("h1", 0, 1, True), ("h1", 1, 1, True), ("h2", 2, 0, False)]
+
+
+@pytest.mark.parametrize("kind", ["double", "boolean", "int", "date"])
+def test_valid_table_takes_classes_of_any_type(spark, kind):
+    df = spark.range(12).select(F.col("id"), F.array(F.lit(1.0)).alias("x"), (
+        F.date_add(F.lit("2021-01-01").cast("date"), (F.col("id") % 2).cast("int")) if kind == "date" else (F.col("id") % 2).cast(kind)).alias("y"))
+    _, summary = pack.pack_train(df, 4, 2)
+    valid = pack.pack_valid(df, summary, 4, 2)
+    assert valid.agg(F.sum("unseen")).first()[0] == 0 and valid.first().dependent_var_shape[1] == 2

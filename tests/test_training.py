@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mselect.operators.ranking import sanity_head, single
 from conftest import rows
 from mselect.operators import packing as pack
 from mselect.search import adaptive, spaces
@@ -164,20 +165,20 @@ def test_grids(spark):
     assert spaces.choose_space(spark).count() == 16
     first = spaces.choose_space(spark).orderBy("ordinal").first()
     assert (first.model, first.batch_size, first.learning_rate, first.lambda_value) == ("resnet50", 32, 1e-4, 1e-4)
-    mixed = spaces.choose_space(spark, hetero=True)
+    mixed = spaces.choose_space(spark, "hetero")
     assert rows(mixed.groupBy("model", "batch_size").count()) == [("mobilenetv2", 128, 38), ("nasnetmobile", 4, 10)]
-    assert spaces.choose_space(spark, hetero=True, hetero_load=True).count() == 2
+    assert spaces.choose_space(spark, "hetero_load").count() == 2
     with pytest.raises(ValueError):
         spaces.expand_hetero(spark, {**spaces.GRIDS["hetero"], "total": 47})
-    assert spaces.choose_space(spark, search=True).count() == 4
-    assert spaces.choose_space(spark, clicks=True).count() == 16
-    assert spaces.choose_space(spark, clicks=True, breakdown=True).count() == 8
-    assert spaces.choose_space(spark, scalability=True, sanity=True, single_index=3).count() == 1
-    assert spaces.choose_space(spark, best=True, divide_batch=8).first().batch_size == 4
+    assert spaces.choose_space(spark, "search").count() == 4
+    assert spaces.choose_space(spark, "clicks").count() == 16
+    assert spaces.choose_space(spark, "clicks_breakdown").count() == 8
+    assert single(sanity_head(spaces.choose_space(spark, "scalability")), 3).count() == 1
+    assert spaces.divide_batch(spaces.choose_space(spark, "best"), 8).first().batch_size == 4
 
 
 def test_registry(spark):
-    c = spaces.choose_space(spark, hetero=True)
+    c = spaces.choose_space(spark, "hetero")
     arch = spaces.register_models(c)
     table = spaces.selection_table(c, arch)
     assert arch.count() == 2 and table.count() == 48 and table.agg(F.min("mst_key"), F.max("mst_key")).first() == (1, 48)
