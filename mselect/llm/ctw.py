@@ -14,6 +14,7 @@ and looked up in the same way for the baseline; they are known by a 64-bit hash.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ from mselect.llm.common import written
 
 HOT = 1 << 20  # most entries of the table of frequent keys
 TASK_RUNS = 400_000  # runs that a task weights at once, about
-MERGE_BYTES = 32_000_000  # text whose counts a task merges before it hands them on
+SLICE_BYTES = 2_000_000  # text that is worked on at once; bounds a task's memory
+MERGE_BYTES = 8_000_000  # text whose counts a task merges before it hands them on
 RUN, WORD = 0, 1  # kinds of keys
 _U = np.uint64
 
@@ -160,7 +162,7 @@ def key_counts(docs: DataFrame, depth: int, text: str, train: str) -> DataFrame:
                 parts.clear()
 
         for batch in batches:
-            for row, data, offsets in words.slices(batch.column(0)):
+            for row, data, offsets in words.slices(batch.column(0), SLICE_BYTES):
                 trained = batch.column(1).slice(row, len(offsets) - 1).to_numpy(zero_copy_only=False).astype(bool)
                 runs, run_first = text_runs(data, offsets, depth)
                 starts, ends, word_first = words.word_spans(data, offsets)
@@ -218,7 +220,7 @@ class HotTable:
     """Values of 64-bit keys in an open table; a key not in it has no value."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.bits = max(4, int(len(keys) * 2).bit_length())
         size = 1 << self.bits
         self.keys, self.used, self.values = np.zeros(size, np.uint64), np.zeros(size, bool), np.zeros(size)
         left, self.tries = np.arange(len(keys)), 0
@@ -250,6 +252,17 @@ class HotTable:
         return out, left
 
 
+_built: dict[str, dict[int, HotTable]] = {}
+
+
+def hot_tables(name: str, rows: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, HotTable]:
+    """The tables of frequent keys, built once in a worker: sent as rows they take a fifth of the place."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = {k: HotTable(*r) for k, r in rows.items()}
+    return _built[name]
+
+
 def hot_rows(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys and values of the most frequent keys: all above a count that at most ``most`` keys exceed."""
     classes = sorted(model.groupBy(F.floor(F.log2("n_all") * 8).alias("c")).agg(F.count(F.lit(1)), F.min("n_all")).collect(), reverse=True)
@@ -265,7 +278,7 @@ def hot_rows(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return table["key"].to_numpy().view(np.uint64), table["value"].to_numpy()
 
 
-def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", depth: int = 6, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", depth: int = 5, hot: int = HOT) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
     ``held_out`` is a boolean column expression over ``docs``; rows where it isn't true are learned from. ``score`` is the
@@ -285,14 +298,14 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", de
     runs = run_probabilities(counts, depth).withColumn("kind", F.lit(RUN).cast("byte"))
     own = counts.where(F.col("kind") == WORD).select("key", F.log10(F.col("n_train") + 1).alias("value"), "n_all", "kind")
     model = written(runs.unionByName(own), "model")
-    tables = docs.sparkSession.sparkContext.broadcast(
-        {k: HotTable(*hot_rows(model.where(F.col("kind") == k), hot)) for k in (RUN, WORD)})
+    frequent = docs.sparkSession.sparkContext.broadcast({k: hot_rows(model.where(F.col("kind") == k), hot) for k in (RUN, WORD)})
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, number = words.Powers(), TaskContext.get().partitionId() << 40
-        table = tables.value
+        table = hot_tables(name, frequent.value)
         for batch in batches:
-            for row, data, offsets in words.slices(batch.column(2)):
+            for row, data, offsets in words.slices(batch.column(2), SLICE_BYTES):
                 n = len(offsets) - 1
                 starts, stops, word_first = words.word_spans(data, offsets)
                 hashes = words.word_hashes(data, starts, stops, powers)
