@@ -80,3 +80,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers.up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * powers.down[starts])
+
+
+def distinct_shingles(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The different hashes of runs of ``width`` words; of all words, if they are fewer."""
+    if not len(hashes):
+        return hashes
+    width = min(width, len(hashes))
+    out = np.zeros(len(hashes) - width + 1, np.uint64)
+    for i in range(width):
+        out = mix(out * _BASE + hashes[i: i + len(out)])
+    return np.unique(out)

@@ -108,3 +108,70 @@ def test_the_join_verifies_before_it_emits(spark):
     df = spark.range(64).select(F.col("id").alias("fp"))
     plan = simhash.links(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_count" in plan.split("Join", 1)[1].split("\n", 1)[0]
+
+
+def brute_near(rows, most):
+    """Components of (key, four words) by all pairs with a segment that differs in a bit at most and few bits in all."""
+    def near(a, b):
+        x = [(p ^ q) & ((1 << 64) - 1) for p, q in zip(a, b)]
+        return sum(v.bit_count() for v in x) <= most and any(
+            (v >> 21 * j & (1 << 21) - 1).bit_count() <= 1 for v in x for j in range(3))
+    root = {r[0]: r[0] for r in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            if near(a[1:], b[1:]):
+                u, v = find(a[0]), find(b[0])
+                root[max(u, v)] = min(u, v)
+    return {k: find(k) for k in root}
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"new{rng.getrandbits(40)}"
+    return " ".join(out)
+
+
+def test_near_copies(spark):
+    rng = random.Random(8)
+    texts, group = [], []
+    for g in range(12):
+        base = [f"w{rng.getrandbits(14)}" for _ in range(rng.choice([150, 300, 700]))]
+        for _ in range(rng.randint(1, 25)):
+            texts.append(edited(rng, base, len(base) // 150))  # similar to at least 0.88, pair by pair
+            group.append(g)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component for r in simhash.near_copies(docs).collect()}
+    rows = sorted(tuple(r) for r in simhash.long_fingerprints(docs, "doc_id", "text").collect())
+    assert got == brute_near(rows, simhash.bound(0.8))
+    assert got == {i: group.index(g) for i, g in enumerate(group)}
+
+
+def test_near_copies_of_odd_rows(spark):
+    rows = [(5, None), (4, ""), (7, " \n"), (None, "a b"), (9, "a b"), (9, "a b"), (8, "A  B"), (1, "x" * 100_000), (2, "word " * 300_000)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, id long, place string")
+    got = sorted((r.doc_id or 0, r.component) for r in simhash.near_copies(docs).collect())
+    assert got == [(0, None), (1, 1), (2, 2), (4, 4), (5, 4), (7, 4), (8, 8), (9, 8), (9, 8)]
+    assert simhash.near_copies(docs.limit(0)).collect() == []
+
+
+def test_long_fingerprint_counts_different_shingles(spark):
+    import numpy as np
+    from mselect.llm import words
+    text = "a b c d e f a b c d e f g h i j"
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = words.word_spans(data, np.array([0, len(data)]))
+    hashes = words.word_hashes(data, starts, ends, words.Powers())
+    grams = words.distinct_shingles(hashes, 5)
+    assert len(grams) == len({tuple(text.split()[i:i + 5]) for i in range(12)})
+    row = simhash.long_fingerprints(spark.createDataFrame([(1, text), (2, text + "  ")], "doc_id long, text string"), "doc_id", "text").collect()
+    assert row[0][1:] == row[1][1:]
+    for p, value in enumerate(row[0][1:]):
+        own = [int(x) for x in words.mix(grams + np.array([p + 1], np.uint64) * words._BASE)]
+        assert value & ((1 << 64) - 1) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own))
