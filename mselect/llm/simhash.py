@@ -178,8 +178,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     """(key, component): every row, with the smallest key of the texts that its words are nearly those of, its own included.
 
     Fingerprints of 256 bits have twelve segments of 21 bits and four bits without one. Texts are compared if a segment of theirs differs in a
-    bit at most, and linked at ``bound(similar)`` bits or fewer: with half the bits of all segments wrong by chance, as for
-    texts of a similarity of 0.9, some segment is near with a probability of 0.99, and of 0.87 for 0.8.
+    bit at most, and linked at ``bound(similar)`` bits or fewer. Some segment of two texts is that near with a probability of
+    about 0.99 at a similarity of 0.9, and 0.87 at 0.8. Candidates by chance grow with the square of the number of texts over 2**21.
 
     First the texts of a segment value are compared with the smallest and the largest of them, so that a group of copies becomes one
     component without its pairs. Then only values with different components are looked up in each other's balls. Rows with null
