@@ -175,3 +175,33 @@ def test_long_fingerprint_counts_different_shingles(spark):
     for p, value in enumerate(row[0][1:]):
         own = [int(x) for x in words.mix(grams + np.array([p + 1], np.uint64) * words._BASE)]
         assert value & ((1 << 64) - 1) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own))
+
+
+def test_near_copies_have_a_jaccard_similarity_of_four_fifths(spark):
+    rng = random.Random(4)
+    texts = {}
+    for _ in range(60):
+        base = [f"w{rng.getrandbits(30)}" for _ in range(rng.choice([40, 150, 600]))]
+        for share in (0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08):
+            texts[len(texts)] = edited(rng, base, round(share * len(base)))
+    sets = {k: {tuple(v.split()[i:i + 5]) for i in range(len(v.split()) - 4)} for k, v in texts.items()}
+    root, levels = {k: k for k in texts}, set()
+    for a in texts:
+        for b in range(a - a % 7, a):  # texts of different bases share nothing
+            alike = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            levels.add(int(10 * alike))
+            if alike >= 0.8:
+                u, v = root[a], root[b]
+                root = {k: min(u, v) if r in (u, v) else r for k, r in root.items()}
+    assert levels >= {4, 5, 6, 7, 8, 9}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component for r in simhash.near_copies(docs).collect()} == root
+
+
+def test_odd_sketches_differ_in_no_more_bits_than_sets():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for n in (1, 30, 3000):
+        both, a, b = (rng.integers(0, 1 << 63, k, np.uint64) * np.uint64(2) for k in (n, n // 3, n // 5))
+        x, y = (simhash._odd_sketch(np.concatenate((both, own))) for own in (a, b))
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(a) + len(b)
