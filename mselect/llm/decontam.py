@@ -2,8 +2,8 @@
 
 A seed is a fixed mask over neighbouring tokens; the tokens at its ones are hashed and those between are ignored, so a passage with a
 replaced token still hits. Hashes of test items and of documents are joined, and around each hit the tokens of both are compared
-along the hit's diagonal: an overlap counts if it has enough equal tokens and few replaced ones. Tokens are lower-cased runs of
-bytes without white space and ASCII punctuation.
+along the hit's diagonal: an overlap counts if it has enough equal tokens and few replaced ones. Tokens are case-folded runs of
+bytes without white space and ASCII punctuation; folding is Unicode's, in which ``ß`` is ``ss`` as in its upper case.
 
 Documents are many and hits are few. A bit table of a fixed size, made of the test hashes, tells each task which of its
 positions may hit; only those leave it, together with the tokens around them. The join is exact, so the bit table never
@@ -40,9 +40,19 @@ def seed_hashes(tokens: np.ndarray, firsts: np.ndarray, mask: str) -> np.ndarray
     return words.mix(out + np.uint64(len(mask)))
 
 
+def _folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A slice without case in any language. Bytes that aren't UTF-8 stay."""
+    if not len(data) or data.max() < 128:
+        return data, offsets
+    texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+    texts = [t if t.isascii() else t.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape") for t in texts]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 def _tokens(column: pa.Array, powers: words.Powers, size: int = words.SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, token hashes, first token of each text and the total) of slices of a column."""
     for row, data, offsets in words.slices(column, size):
+        data, offsets = _folded(data, offsets)
         starts, ends, first = words.word_spans(data, offsets, _INK)
         yield row, words.word_hashes(data, starts, ends, powers), first
 

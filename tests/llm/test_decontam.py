@@ -98,3 +98,14 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert contaminated(df.limit(0), bench).collect() == [] and contaminated(df, bench.limit(0)).collect() == []
     assert [tuple(r) for r in contaminated(df, bench).collect()] == [(1, 1, 3, 3, 0, 0, 3)]
+
+
+def test_case_does_not_matter_in_any_language(spark):
+    item = "ciónmiírr el ños ya ñuevo çà où straße дом ёлка λόγος οδός été naïve über øre łódź señor"
+    docs = {1: item.upper(), 2: "x " + item.title() + " y", 3: item, 4: "other words " * 20, 5: "É" * 3}
+    frames = [spark.createDataFrame(list(rows.items()), f"{key} long, text string") for key, rows in (("doc_id", docs), ("item_id", {7: item}))]
+    got = {(r.doc_id, r.item_id, r.n_equal) for r in contaminated(*frames).collect()}
+    assert got == {(d, 7, len(item.split())) for d in (1, 2, 3)}
+    raw = pa.array([b"\xff\xc3\x89", b"\xff\xc3\xa9"], pa.binary()).view(pa.string())
+    (_, hashes, _), = decontam._tokens(raw, words.Powers())
+    assert hashes[0] == hashes[1]
