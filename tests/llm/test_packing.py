@@ -7,7 +7,7 @@ from itertools import product
 
 import pytest
 
-from mselect.llm.packing import dearest, fractional, pack, plan, sequences
+from mselect.llm.packing import averaged, dearest, fractional, pack, plan, sequences
 
 import numpy as np
 
@@ -89,3 +89,17 @@ def test_sequences_and_the_empty_table(spark):
     assert sorted(tuple(r) for r in odd.collect()) == [(1, None, None, None), (2, 3, 0, 0)]
     with pytest.raises(ValueError):
         plan({4: 1}, 3)
+
+
+@pytest.mark.parametrize("counts, capacity", [
+    ({560: 19_000, 336: 5_000, 320: 13_000}, 1024), ({600: 900, 500: 4_000, 420: 3_000, 260: 2_500, 70: 100}, 1024),
+    ({51: 1_000, 27: 2_000, 26: 2_000, 23: 3_000}, 100), ({7: 10_000, 5: 10_000, 3: 10_000}, 16)])
+def test_few_lengths_are_near_the_dual_bound(counts, capacity):
+    x, bound = averaged(counts, capacity, [], 0.01, 200_000)
+    assert sum(x.values()) <= 1.01 * bound
+    for n, k in counts.items():
+        assert sum(u * dict(c).get(n, 0) for c, u in x.items()) >= k * (1 - 1e-9)
+    chosen = plan(counts, capacity)
+    assert sum(t for _, t in chosen) <= 1.01 * bound + 3
+    for n, k in counts.items():
+        assert sum(dict(c).get(n, 0) * t for c, t in chosen) == k
