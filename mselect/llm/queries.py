@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mselect.llm import chat, ctw, decontam, html, packing, quality, sharding, simhash, tokens, warc
+from mselect.llm import chat, ctw, decontam, html, minhash, packing, quality, sharding, simhash, tokens, warc
 from mselect.llm.common import shared_path, written
 from mselect.llm.registry import QUERIES, SQL, query, table
 
@@ -115,3 +115,30 @@ def op2_context_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's log10 probability by context-tree weighting and by the word baseline."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return ctw.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
+@query
+def op11_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the size of its set of shingles and the smallest document that links lead to."""
+    return minhash.near_duplicates(table(spark, folder, "documents")).withColumnRenamed("component", "component_id")
+
+
+SQL["op11_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM w),
+kinds AS (SELECT s, row_number() OVER () AS k, len(s) AS n FROM (SELECT DISTINCT s FROM sets WHERE len(s) > 0)),
+grams AS (SELECT k, n, unnest(s) AS g FROM kinds),
+links AS (
+  SELECT a.k AS a, b.k AS b FROM grams a JOIN grams b ON a.g = b.g AND a.k <> b.k AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT k, k AS k2 FROM kinds UNION SELECT reach.k, links.b FROM reach JOIN links ON reach.k2 = links.a),
+least AS (
+  SELECT reach.k, min(sets.doc_id) AS component_id
+  FROM reach JOIN kinds ON kinds.k = reach.k2 JOIN sets ON sets.s = kinds.s GROUP BY reach.k)
+SELECT sets.doc_id, len(sets.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM sets LEFT JOIN kinds ON kinds.s = sets.s LEFT JOIN least ON least.k = kinds.k"""
