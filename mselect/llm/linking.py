@@ -9,6 +9,8 @@ Sets are read once, for nodes with a shared key alone, which a bit table of fixe
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +74,27 @@ def sets_by_node(docs: DataFrame, chosen: DataFrame, key: str, text: str, shingl
     return written(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
+#: Words of an odd sketch.
+ODD_WORDS = 8
+ODD = [f"k{i}" for i in range(ODD_WORDS)]
+
+
+def odd_sketch(own: np.ndarray) -> np.ndarray:
+    """512 bits: which cells an odd number of values falls in. Sketches of two sets differ in no more bits than values are in one set alone."""
+    cells = np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=64 * ODD_WORDS)
+    return np.packbits(cells & 1, bitorder="little").view(np.int64)
+
+
+def room_for(similar: int, p: str, q: str) -> Column:
+    """Whether sizes and odd sketches, in columns with the prefixes p and q, leave room for a Jaccard similarity of ``similar`` hundredths.
+
+    No pair of that similarity fails.
+    """
+    n, m = F.col(f"{p}n"), F.col(f"{q}n")
+    apart = reduce(add, [F.bit_count(F.col(p + k).bitwiseXOR(F.col(q + k))) for k in ODD])
+    return (100 * F.least(n, m) >= similar * F.greatest(n, m)) & ((100 + similar) * apart <= (100 - similar) * (n + m))
+
+
 def same_part(x: np.ndarray, y: np.ndarray) -> int:
     """How many values two sorted sets share."""
     if len(x) > len(y):
@@ -104,11 +127,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: Callable[[np.ndarray,
 
 
 def settle(keys: DataFrame, sketches: DataFrame, possible: Callable[[str, str], Column], sets: Callable[[DataFrame], DataFrame],
-           similar: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
+           similar: Callable[[np.ndarray, np.ndarray], bool], first: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(node, root): every node that shares a key, with the smallest node that links lead to.
 
     keys: (node, key) longs. sketches: (node, ...) of all nodes. possible(p, q): whether the sketches of two nodes, whose columns have the
-    prefixes p and q, leave room for a link. sets(nodes): (node, shingles) of ``nodes``. similar(x, y): the verdict on two sets.
+    prefixes p and q, leave room for a link. sets(nodes): (node, shingles) of ``nodes``. similar(x, y): the verdict on two sets. first(p, q):
+    whether ``key`` is the first that two nodes share, so that they are compared under it alone.
     """
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
     entries = written(keys.join(hubs, "key").select("key", "node", "hub"), "entries")
@@ -134,8 +158,8 @@ def settle(keys: DataFrame, sketches: DataFrame, possible: Callable[[str, str],
         return pairs.where("a_comp <> b_comp").select("a", "b")
 
     labels = nodes.withColumn("comp", F.col("node"))
-    first = entries.groupBy("node").agg(F.min("hub").alias("a")).where("a <> node").select("a", F.col("node").alias("b"))
-    labels = merged(with_sketches(first).where(possible("a_", "b_")).select("a", "b"), labels)
+    nearest = entries.groupBy("node").agg(F.min("hub").alias("a")).where("a <> node").select("a", F.col("node").alias("b"))
+    labels = merged(with_sketches(nearest).where(possible("a_", "b_")).select("a", "b"), labels)
     stars = entries.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     labels = merged(with_sketches(apart(stars, labels)).where(possible("a_", "b_")).select("a", "b"), labels)
 
@@ -146,5 +170,6 @@ def settle(keys: DataFrame, sketches: DataFrame, possible: Callable[[str, str],
     some = written(marked.join(several.select("key", "top"), "key").join(own, "node"), "others")
     side_a, side_b = (some.select("key", "top", *[F.col(c).alias(f"{s}_{c}") for c in some.columns if c not in ("key", "top")]) for s in "ab")
     rest = side_a.where("a_comp <> top").join(side_b.drop("top"), "key").where(F.expr("a_comp <> b_comp AND (b_comp = top OR a_comp < b_comp)") & possible("a_", "b_"))
+    rest = rest.where(first("a_", "b_")) if first else rest
     labels = merged(rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), labels)
     return labels.select("node", F.col("comp").alias("root"))

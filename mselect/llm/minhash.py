@@ -4,13 +4,15 @@ A signature holds, for each of ``PLACES`` hash functions, the low eight bits of
 Jaccard similarity J differ in a place with a probability of (1 - J) * 255 / 256. The places are cut into ``CHUNKS`` chunks; signatures
 that differ in at most ``distance`` places differ in at most ``distance // CHUNKS`` places of one of them (pigeonhole), so each
 chunk is entered once for every choice of the places that may be wrong, with those left out, and such a pair shares an entry for certain. The
-distance is then counted on the signatures, and the sets decide.
+distance is then counted on the signatures, odd sketches drop what can't be similar enough, and the sets decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ CHUNKS = 12
 #: Two sets at 0.85 differ in more of 64 places with a probability of 2e-5; above 0.9, of less than 1e-9.
 DISTANCE = 23
 _Q = [f"q{i}" for i in range(PLACES // 8)]  # the signature as longs
+_SKETCH = ["n", *_Q, *linking.ODD]
 _SALTS = words.mix(np.arange(1, PLACES + 1, dtype=np.uint64) * words._BASE)[:, None]
 _FACTORS = words.mix(_SALTS) | np.uint64(1)
 
@@ -46,27 +49,27 @@ def chunk_choices(distance: int = DISTANCE, chunks: int = CHUNKS) -> list[tuple[
 
 
 def entry_keys(signatures: np.ndarray, choices: list[tuple[int, ...]]) -> np.ndarray:
-    """A hash for each signature and choice, of the choice's number and the kept places' bytes."""
+    """A hash for each signature and choice, of the kept places' bytes; the last ten bits are the choice's number."""
     out = np.empty((len(signatures), len(choices)), np.uint64)
     for n, places in enumerate(choices):
         h = np.full(len(signatures), np.uint64(n + 1))
         for p in places:
             h = words.mix(h * words._BASE + signatures[:, p])
-        out[:, n] = h
+        out[:, n] = h & ~np.uint64(1023) | np.uint64(n)
     return out.view(np.int64)
 
 
 def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, node, n, q0 to q7) of every row: the set's node and size, and its signature. Null texts have no words."""
+    """(key, node, n, q0 to q7, k0 to k7) of every row: the set's node and size, signature and odd sketch. Null texts have no words."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = words.Powers()
         for batch in batches:
             for row, sets in linking.sets_of(batch.column(1), powers, shingle):
-                cells = np.array([[linking.node_of(own), len(own), *signature(own).view(np.int64)] for own in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), *(pa.array(c) for c in cells.T.copy())], [key, "node", "n", *_Q])
-    kinds = ", ".join(f"{c} long" for c in ("node", "n", *_Q))
+                cells = np.array([[linking.node_of(own), len(own), *signature(own).view(np.int64), *linking.odd_sketch(own)] for own in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), *(pa.array(c) for c in cells.T.copy())], [key, "node", *_SKETCH])
+    kinds = ", ".join(f"{c} long" for c in ("node", *_SKETCH))
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, {kinds}")
 
 
@@ -96,6 +99,17 @@ def differing(p: str, q: str) -> Column:
     return total
 
 
+def first_shared(p: str, q: str, choices: list[tuple[int, ...]]) -> Column:
+    """Whether ``key`` is of the first choice whose places are the same in the signatures in columns with the prefixes p and q."""
+    at = F.lit(None)
+    for n, places in reversed(list(enumerate(choices))):
+        kept = np.zeros(PLACES, np.uint8)
+        kept[list(places)] = 255
+        same = [F.col(p + name).bitwiseXOR(F.col(q + name)).bitwiseAND(int(mask)) == 0 for name, mask in zip(_Q, kept.view(np.int64)) if mask]
+        at = F.when(reduce(and_, same), n).otherwise(at)
+    return at == F.col("key").bitwiseAND(1023)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = 85, shingle: int = 3,
                     distance: int = DISTANCE, chunks: int = CHUNKS) -> DataFrame:
     """(key, n_shingles, component, kept): every row with the smallest key that links lead to, its own included.
@@ -106,14 +120,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     sought; a component of null keys alone has a null. Rows stay as many as they are; other columns aren't read.
     """
     rows = written(signatures(docs, key, text, shingle), "signatures")
-    classes = written(rows.where("n > 0").groupBy("node", "n", *_Q).agg(F.min(key).alias("least")), "classes")
+    classes = written(rows.where("n > 0").groupBy("node", *_SKETCH).agg(F.min(key).alias("least")), "classes")
     # a set with fewer shingles than this has no similar one but itself
     smallest = -(-similar // max(1, 100 - similar))
     apart = classes.where(F.col("n") >= smallest)
 
     def possible(p: str, q: str) -> Column:
-        n, m = F.col(f"{p}n"), F.col(f"{q}n")
-        return (100 * F.least(n, m) >= similar * F.greatest(n, m)) & (differing(p, q) <= distance)
+        return linking.room_for(similar, p, q) & (differing(p, q) <= distance)
 
     def sets(nodes: DataFrame) -> DataFrame:
         chosen = apart.join(nodes, "node", "left_semi").select("node", F.xxhash64("least").alias("h"))
@@ -123,7 +136,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         same = linking.same_part(x, y)
         return 100 * same >= similar * (len(x) + len(y) - same)
 
-    roots = linking.settle(entries(apart, distance, chunks), apart.select("node", "n", *_Q), possible, sets, verdict)
+    roots = linking.settle(entries(apart, distance, chunks), apart.select("node", *_SKETCH), possible, sets, verdict,
+                           lambda p, q: first_shared(p, q, chunk_choices(distance, chunks)))
     joined = written(classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "joined")
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
     labels = written(joined.join(least, "root").select("node", "component"), "labels")

@@ -96,7 +96,7 @@ def test_signatures_within_the_distance_share_an_entry(distance, chunks):
         at = rng.choice(minhash.PLACES, distance, replace=False)
         other[0, at] += rng.integers(1, 256, distance, dtype=np.uint8)
         a, b = (minhash.entry_keys(x, choices)[0] for x in (base, other))
-        assert (a == b).any()
+        assert (a == b).any() and {int(k) & 1023 for k in a} == set(range(len(choices)))
     far = rng.integers(0, 256, (1, minhash.PLACES), dtype=np.uint8)
     assert not (minhash.entry_keys(base, choices) == minhash.entry_keys(far, choices)).any()
 
