@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mselect.llm import chat, ctw, decontam, html, minhash, packing, quality, sharding, simhash, tokens, warc
+from mselect.llm import align, chat, ctw, decontam, html, minhash, packing, quality, sharding, simhash, tokens, warc
 from mselect.llm.common import shared_path, written
 from mselect.llm.registry import QUERIES, SQL, query, table
 
@@ -117,6 +117,14 @@ def op2_context_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ctw.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
 
 
+@query
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, linked, with how many documents hold its pairs."""
+    import public_tokenizers
+
+    return align.align(table(spark, folder, "documents"), vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op11_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the size of its set of shingles and the smallest document that links lead to."""
