@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mselect.llm import align, chat, ctw, decontam, html, minhash, packing, quality, sharding, simhash, tokens, warc
+from mselect.llm import align, chat, ctw, decontam, html, minhash, packing, quality, search, sharding, simhash, tokens, warc
 from mselect.llm.common import shared_path, written
 from mselect.llm.registry import QUERIES, SQL, query, table
 
@@ -150,3 +150,29 @@ least AS (
   FROM reach JOIN kinds ON kinds.k = reach.k2 JOIN sets ON sets.s = kinds.s GROUP BY reach.k)
 SELECT sets.doc_id, len(sets.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
 FROM sets LEFT JOIN kinds ON kinds.s = sets.s LEFT JOIN least ON least.k = kinds.k"""
+
+
+@query
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SQL["op13_ranked_search"] = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+s AS (SELECT count(*)::BIGINT AS n, coalesce(sum(len(ts)), 0)::BIGINT AS l FROM t WHERE len(ts) > 0),
+p AS (SELECT r, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM t),
+tf AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM p GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * s.n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, s.n),
+scores AS (
+  SELECT q.item_id, tf.r, tf.doc_id, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (100 - 90 + (90 * tf.n * s.n) // s.l))))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term), s GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10"""
