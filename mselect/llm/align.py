@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,22 +86,33 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return _aligners[path_a, path_b]
 
 
-def linked(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
-    """For each pair of tokens whose byte ranges overlap, the A id times 2**32 plus the B id."""
-    ends = np.union1d(ends_a, ends_b)  # each piece between two ends is what one pair shares
-    return a[np.searchsorted(ends_a, ends)] << 32 | b[np.searchsorted(ends_b, ends)]
+@cache
+def _names(after: str) -> np.ndarray:
+    """The decimal names of ids with what comes after them."""
+    return np.array([f"{i}{after}" for i in range(1 << 17)], object)
 
 
-def groups(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> list[str]:
-    """The tokens between ends that both share, as ``a1,a2|b1``."""
-    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    cuts_a, cuts_b = (np.searchsorted(e, common) + 1 for e in (ends_a, ends_b))
-    names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    out, i, j = [], 0, 0
-    for p, q in zip(cuts_a.tolist(), cuts_b.tolist()):
-        out.append(f"{names_a[i] if p == i + 1 else ','.join(names_a[i:p])}|{names_b[j] if q == j + 1 else ','.join(names_b[j:q])}")
-        i, j = p, q
-    return out
+def overlaps(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, int, str]:
+    """The links, how many groups there are, and the groups as ``a1,a2|b1;a3|b2,b3``.
+
+    A link is the A id times 2**32 plus the B id, for each pair of tokens whose byte ranges overlap: each piece of the text between two ends of
+    either side is what just one pair shares. Groups end where both sides do.
+    """
+    marks = np.zeros((2, int(ends_a[-1]) + 1), bool)
+    marks[0, ends_a] = marks[1, ends_b] = True
+    ends = np.flatnonzero(marks[0] | marks[1])
+    at_a, at_b = marks[0, ends], marks[1, ends]
+    both = at_a & at_b
+    upto_a, upto_b, done = np.cumsum(at_a), np.cumsum(at_b), np.cumsum(both)
+    links = a[upto_a - at_a] << 32 | b[upto_b - at_b]
+    group, count = done - both, int(done[-1])
+    cuts_a, cuts_b = upto_a[both], upto_b[both]
+    place_a = np.arange(len(a)) + np.concatenate(([0], cuts_b))[group[at_a]]
+    place_b = np.arange(len(b)) + cuts_a[group[at_b]]
+    words = np.empty(len(a) + len(b), object)
+    words[place_a], words[place_b] = _names(",")[a], _names(",")[b]
+    words[place_a[cuts_a - 1]], words[place_b[cuts_b - 1]] = _names("|")[a[cuts_a - 1]], _names(";")[b[cuts_b - 1]]
+    return links, count, "".join(words.tolist())[:-1]
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -233,9 +244,9 @@ def spilled(docs: DataFrame, path_a: str, path_b: str, key: str, text: str, spil
                     held.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
                 else:
                     ends = own.ends(*ids)
-                    links, text_groups = linked(*ids, *ends), groups(*ids, *ends)
-                    digest = hashlib.sha256(";".join(text_groups).encode()).hexdigest()
-                    found.append((row, len(ids[0]), len(ids[1]), len(text_groups), len(links), digest))
+                    links, count, said = overlaps(*ids, *ends)
+                    digest = hashlib.sha256(said.encode()).hexdigest()
+                    found.append((row, len(ids[0]), len(ids[1]), count, len(links), digest))
                     held.append(np.unique(links, return_counts=True))
                 size, row = size + len(held[-1][0]), row + 1
                 if size >= spill or at == batch.num_rows - 1:
