@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mselect.operators.merging import CHUNK, merged_chunks
+
 
 def rows_per_key(packed: DataFrame, key: str = "dist_key") -> DataFrame:
     """Examples per distribution key, from the buffer shapes alone."""
@@ -158,10 +160,10 @@ def batch_then_mean(preds: DataFrame, value: str, batch: str = "batch", partitio
 
 def weighted_merge(states: DataFrame, keys: Sequence[str] = (), n: str = "n", w: str = "w") -> DataFrame:
     """Merge model states element by element, weighted by example count: (keys, pos, w, n)."""
-    items = states.select(*keys, F.col(n).cast("double").alias("_n"), F.posexplode(w).alias("pos", "v"))
-    sums = items.groupBy(*keys, "pos").agg(
-        F.sum(F.col("_n") * F.col("v").cast("double")).alias("_s"), F.sum("_n").alias("n"))
-    return sums.select(*keys, "pos", (F.col("_s") / F.nullif(F.col("n"), F.lit(0.0))).alias("w"), "n")
+    parts = merged_chunks(states, keys, n, w)
+    places = parts.select(*keys, "chunk", F.posexplode(F.arrays_zip("s", "m")).alias("_i", "_v"))
+    return places.select(*keys, (F.col("chunk") * CHUNK + F.col("_i")).alias("pos"),
+                         (F.col("_v.s") / F.nullif(F.col("_v.m"), F.lit(0.0))).alias("w"), F.col("_v.m").alias("n"))
 
 
 def as_vector(merged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

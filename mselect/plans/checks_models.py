@@ -244,6 +244,27 @@ def fit_synchronous(spark, d):
     return _flat(spark.createDataFrame([(w.tolist(),)], "w ARRAY<FLOAT>"))
 
 
+def _batch_sql(keys: int, per_key: int, steps: int) -> str:
+    """Plain steps over each key's next ``per_key`` rows, at last what it has left, step by step."""
+    parts = [_CELLS, f"place AS (SELECT vec_id, (row_number() OVER (PARTITION BY vec_id % {keys} ORDER BY vec_id) - 1) // {per_key} AS s FROM embeddings)",
+             "epoch AS (SELECT max(s) + 1 AS e FROM place)", "w0 AS (SELECT j, c, 0.0::DOUBLE AS w FROM range(65) b(j), range(10) g(c))"]
+    for s in range(steps):
+        parts += [
+            f"z{s} AS (SELECT vec_id, c, sum(v * w) AS z FROM cells JOIN w{s} USING (j) JOIN place USING (vec_id), epoch WHERE s = {s} % e GROUP BY ALL)",
+            f"p{s} AS (SELECT vec_id, c, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS p FROM z{s})",
+            f"g{s} AS (SELECT j, c, avg((CAST(label = c AS INT) - p) * v) AS g FROM p{s} JOIN cells USING (vec_id) GROUP BY ALL)",
+            f"w{s + 1} AS (SELECT j, c, w + {RATE} * g AS w FROM w{s} JOIN g{s} USING (j, c))",
+        ]
+    return f"WITH {', '.join(parts)} SELECT j * 10 + c AS pos, round(w, 4) AS w FROM w{steps}"
+
+
+@query(_batch_sql(KEYS, 20, 6))
+def fit_synchronous_batches(spark, d):
+    layers = learner.layer_sizes("logistic", 64, CLASSES)
+    w = loops.fit_synchronous(packed(spark, d), layers, learner.initial_weights(layers), RATE, 0.0, 6, batch=20 * KEYS, optimizer="sgd")
+    return _flat(spark.createDataFrame([(w.tolist(),)], "w ARRAY<FLOAT>"))
+
+
 _SCORES = ("s AS (SELECT vec_id, label, c, sum(v * w) AS z FROM cells JOIN {w} USING (j) GROUP BY ALL), "
            "q AS (SELECT vec_id, label, c, z - ln(sum(exp(z)) OVER (PARTITION BY vec_id)) AS lp, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, c) AS r FROM s)")
 
@@ -283,13 +304,14 @@ def _hop_sql(models: int, keys: int) -> str:
 
 @query(_hop_sql(2, 3))
 def fit_model_hopper(spark, d):
-    states, _ = loops.fit_model_hopper(_big_buffers(spark, d, 3), _states(spark, 2), 1, optimizer="sgd")
+    data = loops.place(pack.pack_train(examples(spark, d), 1_000_000, 3, dist=F.pmod("id", F.lit(3)))[0], 3)
+    states, _ = loops.fit_model_hopper(data, _states(spark, 2), 1, optimizer="sgd")
     return _flat(states.select("model_key", "w"))
 
 
 @query("SELECT DISTINCT 'success' AS status, e AS epoch, vec_id % 3 AS dist_key, m AS model_key, true AS done FROM embeddings, range(1, 3) t(e), range(2) s(m)")
 def fit_job_table(spark, d):
-    data = loops.prepare(packed(spark, d, keys=3), 3)
+    data = loops.place(packed(spark, d, keys=3), 3)
     _, jobs = loops.fit_job_table(data, _states(spark, 2, "sanity", 32, rate=0.01), 2, data)
     done = F.col("loss_train").isNotNull() & F.col("loss_valid").isNotNull() & (F.col("end_time") >= F.col("start_time"))
     return jobs.select("status", "epoch", "dist_key", "model_key", done.alias("done"))

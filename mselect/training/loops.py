@@ -1,32 +1,35 @@
 """Training and evaluation of many models over a packed table.
 
-The data stay where they are: a packed table is partitioned by distribution key once (``prepare``) and kept. What
+The data stay where they are: a packed table is partitioned by distribution key once, in memory (``prepare``) or in buckets on disk
+(``place``), of which a step reads those of its keys alone. What
 moves between steps is the model states, joined to the buffers by key. A state reaches Python only with the first
 buffer of its key, and a task streams buffers, so memory holds a few buffers and the states in use.
 """
 
 from __future__ import annotations
 
+import base64
+import copy
+import pickle
 import time
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark import BarrierTaskContext, StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mselect.functions.configs import CONFIG_FIELDS
+from mselect.operators.merging import merged_vectors
 from mselect.operators.packing import _buffer_starts, class_values, pack
 from mselect.operators.ranking import split_rows
-from mselect.session import cut_lineage, ship_package
+from mselect.session import cut_lineage, ensure_checkpoint_dir, kept, ship_package
 from mselect.training import learner
 
-MAX_STATE_BYTES = 512 * 1024 * 1024
-_CHUNK = 4096
-
 STATE = "model_key BIGINT, learning_rate DOUBLE, lambda_value DOUBLE, batch_size INT, layers ARRAY<INT>, w ARRAY<FLOAT>"
 _STATE_FIELDS = ["model_key", "learning_rate", "lambda_value", "batch_size", "layers", "w"]
 _TRAINED = ("dist_key INT, model_key BIGINT, n BIGINT, w ARRAY<FLOAT>, start_time TIMESTAMP_NTZ, "
@@ -34,18 +37,41 @@ _TRAINED = ("dist_key INT, model_key BIGINT, n BIGINT, w ARRAY<FLOAT>, start_tim
 _SCORED = "dist_key INT, model_key BIGINT, n BIGINT, sum_loss DOUBLE, hits DOUBLE, seconds DOUBLE"
 
 
-def prepare(packed: DataFrame, keys: int) -> DataFrame:
-    """The packed table partitioned and ordered by distribution key, kept for the steps to come."""
-    ship_package(packed.sparkSession)
-    spark = packed.sparkSession
+def _bound_batches(spark: SparkSession) -> None:
+    """The session default does not bound the bytes of an Arrow batch, and a buffer may be megabytes."""
     size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size) > 2**28:
-        # the session default does not bound the bytes of an Arrow batch, and a buffer may be megabytes
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2**26))
+
+
+def prepare(packed: DataFrame, keys: int) -> DataFrame:
+    """The packed table partitioned and ordered by distribution key, kept for the steps to come."""
+    ship_package(packed.sparkSession)
+    _bound_batches(packed.sparkSession)
     placed = packed.repartition(keys, "dist_key").sortWithinPartitions("dist_key", "buffer_id")
     return placed.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def place(packed: DataFrame, keys: int) -> DataFrame:
+    """The packed table written once in ``keys`` buckets by distribution key, in the shared folder.
+
+    A filter on ``dist_key`` reads the buckets of these keys alone, and a join by ``dist_key`` doesn't move the buffers.
+    """
+    spark = packed.sparkSession
+    ship_package(spark)
+    _bound_batches(spark)
+    name = f"placed_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    dealt = packed.repartition(keys, "dist_key")
+    dealt.write.bucketBy(keys, "dist_key").sortBy("dist_key", "buffer_id").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def on_keys(packed: DataFrame, keys: Sequence[int]) -> DataFrame:
+    """The buffers of some keys; of a placed table only their buckets are read."""
+    return packed.where(F.col("dist_key").isin(list(keys)))
+
+
 def data_shape(packed: DataFrame) -> tuple[int, int]:
     """Feature width and class count from the buffer shapes."""
     r = packed.where(F.element_at("dependent_var_shape", 1) > 0).agg(
@@ -195,21 +221,9 @@ def fit_step(packed: DataFrame, states: DataFrame, key: int | None = None, optim
 def merge_states(trained: DataFrame) -> DataFrame:
     """Average the weights of a model over keys, weighted by example counts: (model_key, w).
 
-    Weights travel in chunks, so the sum of a large model is spread over tasks; a group is one chunk of every key.
+    Weights are summed in levels of packed chunks, so a model trained on very many keys is no large group anywhere.
     """
-    places = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / _CHUNK).cast("int"))
-    chunks = trained.where("n > 0").select("model_key", "dist_key", "n", F.posexplode(
-        F.transform(places, lambda i: F.slice("w", i * _CHUNK + 1, F.lit(_CHUNK)))).alias("chunk", "part"))
-
-    def average(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dist_key")
-        total = np.average(np.stack(pdf["part"].to_list()).astype(np.float64), axis=0, weights=pdf["n"])
-        return pd.DataFrame({"model_key": pdf["model_key"].iloc[:1].to_numpy(), "chunk": pdf["chunk"].iloc[:1].to_numpy(),
-                             "part": [total.astype(np.float32)]})
-
-    merged = chunks.groupBy("model_key", "chunk").applyInPandas(average, "model_key BIGINT, chunk INT, part ARRAY<FLOAT>")
-    return merged.groupBy("model_key").agg(F.flatten(F.transform(
-        F.sort_array(F.collect_list(F.struct("chunk", "part"))), lambda c: c["part"])).alias("w"))
+    return merged_vectors(trained.where("n > 0"), ["model_key"])
 
 
 def _with_weights(states: DataFrame, weights: DataFrame) -> DataFrame:
@@ -228,7 +242,7 @@ def fit_model_averaging(packed: DataFrame, states: DataFrame, epochs: int, valid
     states, history = cut_lineage(states), []
     for epoch in range(1, epochs + 1):
         merged = merge_states(train_assigned(packed, on_every_key(states, packed), optimizer))
-        states = cut_lineage(_with_weights(states, merged))
+        states = kept(_with_weights(states, merged), "states")
         if epoch % every == 0 or epoch == epochs:
             history.append(evaluate(packed if valid is None else valid, states).withColumn("epoch", F.lit(epoch)))
     return states, cut_lineage(reduce(DataFrame.unionByName, history))
@@ -261,20 +275,28 @@ def _places(states: DataFrame) -> tuple[DataFrame, int]:
     return states.sparkSession.createDataFrame(list(enumerate(keys)), "place INT, model_key BIGINT"), len(keys)
 
 
+def busy_keys(step: int, keys: Sequence[int], models: int) -> list[int]:
+    """The keys that have a model at a step of ``hop_schedule``."""
+    return [k for i, k in enumerate(keys) if (step - i) % max(models, len(keys)) < models]
+
+
 def _hop(packed: DataFrame, states: DataFrame, epochs: int, optimizer: str,
          valid: DataFrame | None, with_jobs: bool, k: int = 1) -> tuple[DataFrame, list[DataFrame]]:
+    """A step joins the states that work to the buffers of their keys alone, so an epoch reads a key once for each model."""
     keys = sorted(r[0] for r in packed.select("dist_key").distinct().collect())
     models, count = _places(states)
     schedule = hop_schedule(models, count, keys)
-    states, jobs = cut_lineage(states), []
+    states, jobs = kept(states, "states"), []
     for epoch in range(1, epochs + 1):
         for step in range(max(count, len(keys))):
+            data = on_keys(packed, busy_keys(step, keys, count))
             now = schedule.where((F.col("step") == step) & F.col("model_key").isNotNull()).select("dist_key", "model_key")
-            trained = cut_lineage(train_assigned(packed, states.join(F.broadcast(now), "model_key"), optimizer))
-            states = cut_lineage(_with_weights(states, trained))
+            trained = train_assigned(data, states.join(now, "model_key"), optimizer)
+            trained = kept(trained, "trained") if with_jobs else trained
+            states = kept(_with_weights(states, trained), "states")
             if with_jobs:
-                at = states.join(F.broadcast(now), "model_key")
-                jobs.append(_job_rows(epoch, trained, score_assigned(packed, at, k), score_assigned(valid, at, k)))
+                at, check = states.join(now, "model_key"), on_keys(valid, busy_keys(step, keys, count))
+                jobs.append(kept(_job_rows(epoch, trained, score_assigned(data, at, k), score_assigned(check, at, k)), "jobs"))
     return states, jobs
 
 
@@ -336,74 +358,88 @@ def fit_task_parallel(packed: DataFrame, states: DataFrame, epochs: int, valid:
     return states, history.where(F.col("epoch") == epochs).select("model_key", "loss")
 
 
-def _sum_gradients(partials: DataFrame) -> tuple[np.ndarray, int]:
-    """Chunk-wise sum over tasks; the driver receives one vector of model size and the row count."""
-    places = F.sequence(F.lit(0), F.floor((F.size("g") - 1) / _CHUNK).cast("int"))
-    chunks = partials.select("part", "n", F.posexplode(
-        F.transform(places, lambda i: F.slice("g", i * _CHUNK + 1, F.lit(_CHUNK)))).alias("chunk", "v"))
+def _gathered(context: BarrierTaskContext, g: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """The sums over all tasks of the stage. Each adds them in the order of the tasks, so all have the same."""
+    parts = context.allGather(base64.b64encode(np.append(g, n).astype("<f8").tobytes()).decode() if n else "")
+    total = np.zeros(len(g) + 1)
+    for part in parts:
+        if part:
+            total += np.frombuffer(base64.b64decode(part), "<f8")
+    return total[:-1], int(total[-1])
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].to_numpy(), "n": [int(pdf["n"].sum())],
-                             "v": [np.sum(np.stack(pdf["v"].to_list()), axis=0)]})
 
-    rows = chunks.groupBy("chunk").applyInPandas(total, "chunk INT, n BIGINT, v ARRAY<DOUBLE>").orderBy("chunk").collect()
-    if not rows:
-        return np.zeros(0), 0
-    return np.concatenate([np.asarray(r["v"]) for r in rows]), rows[0]["n"]
+def _located(packed: DataFrame, tasks: int) -> tuple[DataFrame, int]:
+    """Buffers with the positions of their first and last row in the key, dealt over tasks and in order of position; the rows of the largest key."""
+    bounds = cut_lineage(_buffer_starts(packed, "dist_key", None).select("dist_key", "buffer_id", "_start", "_end"))
+    rows = packed.join(bounds.hint("shuffle_hash"), ["dist_key", "buffer_id"]).select(
+        "dist_key", "buffer_id", "_start", "_end", "independent_var", "dependent_var")
+    dealt = rows.repartition(tasks, "dist_key").sortWithinPartitions("_start", "dist_key", "buffer_id")
+    return dealt.persist(StorageLevel.MEMORY_AND_DISK), bounds.agg(F.max("_end")).first()[0] or 0
 
 
 def fit_synchronous(packed: DataFrame, layers: Sequence[int], w: np.ndarray, rate: float, penalty: float, steps: int,
-                    batch: int | None = None, optimizer: str = "adam") -> np.ndarray:
+                    batch: int | None = None, optimizer: str = "adam", tasks: int | None = None) -> np.ndarray:
     """Data-parallel descent: each step sums the gradients of all keys' current minibatches and updates once.
 
-    ``batch`` is the total over keys; each key gives batch // keys rows per step and starts over after its last full
-    minibatch. Without ``batch`` a step uses all rows. Buffers outside the minibatch never reach Python.
+    ``batch`` is the total over keys; each key gives its next batch // keys rows a step, at last what it has left, and nothing more until
+    all keys are through; then the next epoch begins. So an epoch visits every row once. Without ``batch`` a step uses all rows.
+
+    An epoch is one barrier stage of ``tasks`` tasks (as many as the session's parallelism, if there are that many keys), which all run at once.
+    They stream their buffers, exchange gradients with ``allGather`` after each step and make the same update, so nothing comes to the driver
+    until an epoch ends. A lost task repeats the epoch. Weights, optimizer and one minibatch are in memory; a step moves tasks * tasks gradients.
     """
-    spark = packed.sparkSession
-    if len(w) * 8 > MAX_STATE_BYTES:
-        raise ValueError("model too large to send to every task")
-    starts = _buffer_starts(packed, "dist_key", None)
+    ship_package(packed.sparkSession)
     keys = packed.select("dist_key").distinct().count()
-    update, w = learner.Optimizer(len(w), rate, penalty, optimizer), np.asarray(w, dtype=np.float64)
-    per_key = None if batch is None else batch // keys
+    per_key = None if batch is None else batch // max(1, keys)
     if per_key == 0:
         raise ValueError("batch is smaller than the number of keys")
-    totals = starts.groupBy("dist_key").agg(F.sum("_n").alias("_total"))
-    bounds = cut_lineage(starts.join(totals, "dist_key").select("dist_key", "buffer_id", "_start", "_end", "_total"))
-    located = packed.join(bounds.hint("shuffle_hash"), ["dist_key", "buffer_id"])
-    for step in range(steps):
-        sent = spark.sparkContext.broadcast(w)
-
+    state = learner.Optimizer(len(w), rate, penalty, optimizer)
+    w, layers = np.asarray(w, dtype=np.float64), list(layers)
+    tasks = min(tasks or packed.sparkSession.sparkContext.defaultParallelism, max(1, keys))
+    located, most = _located(packed, tasks)
+    width = most if per_key is None else per_key
+    each_epoch = -(-most // width) if most else 0
+
+    def epoch(w: np.ndarray, state: learner.Optimizer, steps: int) -> tuple[np.ndarray, learner.Optimizer]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, tuple[np.ndarray, int]] = {}
-            for b in batches:
-                for r in range(b.num_rows):
-                    lo, hi = b.column("lo")[r].as_py(), b.column("hi")[r].as_py()
-                    x = _numbers(b.column("independent_var"), r)[lo:hi]
-                    y = _numbers(b.column("dependent_var"), r)[lo:hi]
-                    g, n = sums.get(0, (0.0, 0))
-                    sums[0] = (g + learner.gradient(sent.value, layers, x, y), n + len(x))
-                    part = b.column("dist_key")[r].as_py()
-            for g, n in sums.values():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([g], pa.list_(pa.float64()))],
-                    names=["part", "n", "g"])
-
-        if per_key is None:
-            lo, hi = F.lit(0).cast("long"), F.col("_end") - F.col("_start")
-            current = located
-        else:
-            full = F.greatest(F.floor(F.col("_total") / per_key), F.lit(1))
-            begin = F.pmod(F.lit(step), full) * per_key
-            current = located.where((F.col("_end") > begin) & (F.col("_start") < begin + per_key))
-            lo = F.greatest(begin - F.col("_start"), F.lit(0))
-            hi = F.least(begin + per_key, F.col("_end")) - F.col("_start")
-        part = current.select("dist_key", "independent_var", "dependent_var", lo.alias("lo"), hi.alias("hi"))
-        g, n = _sum_gradients(part.mapInArrow(run, "part INT, n BIGINT, g ARRAY<DOUBLE>"))
-        if n:
-            w = update.step(w, g / n)
-        sent.unpersist()
+            context, own, update = BarrierTaskContext.get(), w.copy(), copy.deepcopy(state)
+            buffers = ((b.column("_start")[r].as_py(), _numbers(b.column("independent_var"), r), _numbers(b.column("dependent_var"), r))
+                       for b in batches for r in range(b.num_rows))
+            waiting, ahead = [], next(buffers, None)  # what the step doesn't reach, at most a buffer a key; the next buffer
+            for step in range(steps):
+                g, n, end, left = np.zeros(len(own)), 0, (step + 1) * width, []
+
+                def use(start: int, x: np.ndarray, y: np.ndarray) -> None:
+                    nonlocal g, n
+                    cut = min(len(x), end - start)
+                    if cut:
+                        g = g + learner.gradient(own, layers, x[:cut], y[:cut])
+                        n += cut
+                    if cut < len(x):
+                        left.append((start + cut, x[cut:], y[cut:]))
+                for part in waiting:
+                    use(*part)
+                while ahead is not None and ahead[0] < end:
+                    use(*ahead)
+                    ahead = next(buffers, None)
+                waiting = left
+                g, n = _gathered(context, g, n)
+                if n:
+                    own = update.step(own, g / n)
+            for _ in batches:  # an epoch cut short
+                pass
+            if context.partitionId() == 0:
+                yield pa.RecordBatch.from_pydict({"w": pa.array([own.tolist()], pa.list_(pa.float64())), "state": [pickle.dumps(update)]})
+
+        row = located.drop("dist_key", "buffer_id", "_end").mapInArrow(run, "w ARRAY<DOUBLE>, state BINARY", barrier=True).collect()[0]
+        return np.asarray(row["w"]), pickle.loads(row["state"])
+
+    done = 0
+    while done < steps and each_epoch:
+        now = min(each_epoch, steps - done)
+        w, state = epoch(w, state, now)
+        done += now
+    located.unpersist()
     return w.astype(np.float32)
 
 
@@ -411,8 +447,6 @@ def predict(df: DataFrame, layers: Sequence[int], w: Sequence[float], x: str = "
     """Add class scores; the weights go to each executor once."""
     spark = df.sparkSession
     ship_package(spark)
-    if len(w) * 8 > MAX_STATE_BYTES:
-        raise ValueError("model too large to send to every task")
     sent, layers = spark.sparkContext.broadcast(np.asarray(w, dtype=np.float64)), list(layers)
 
     @F.pandas_udf("array<double>")

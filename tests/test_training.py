@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +143,68 @@ def test_synchronous_equals_single_machine(placed, raw):
     assert np.allclose(got, want, atol=1e-6)
 
 
+def plain_epochs(parts, w, layers, per, steps, optimizer):
+    """Synchronous descent in one process: each part's next rows, at last what it has left."""
+    update, epoch = learner.Optimizer(len(w), 0.05, 1e-4, optimizer), -(-max(len(y) for _, y in parts) // per)
+    for s in range(steps):
+        at = s % epoch * per
+        x, y = (np.concatenate([p[j][at:at + per] for p in parts]) for j in (0, 1))
+        w = update.step(w, learner.gradient(w, layers, x, y) / len(x))
+    return w
+
+
+@pytest.mark.parametrize("tasks,optimizer", [(None, "adam"), (1, "sgd"), (2, "adam")])
+def test_synchronous_visits_every_row(spark, tasks, optimizer):
+    """Keys of unlike sizes, buffers across minibatches, short last minibatches, several epochs and the optimizer's state between them."""
+    rng = np.random.default_rng(2)
+    sizes, layers = [41, 7, 23, 1, 40], [3, 4, 2]
+    parts, rows_ = [], []
+    for k, n in enumerate(sizes):
+        x, y = rng.normal(size=(n, 3)).astype(np.float32).astype(np.float64), np.eye(2)[rng.integers(0, 2, n)]
+        parts.append((x, y))
+        for b, a in enumerate(range(0, n, 9)):
+            rows_.append((k, b, x[a:a + 9].tolist(), y[a:a + 9].astype(int).tolist(), [len(x[a:a + 9]), 3], [len(x[a:a + 9]), 2]))
+    kinds = "dist_key int, buffer_id int, independent_var array<array<float>>, dependent_var array<array<smallint>>, independent_var_shape array<int>, dependent_var_shape array<int>"
+    packed = spark.createDataFrame(rows_, kinds)
+    w = learner.initial_weights(layers).astype(np.float64)
+    for batch, steps in ((5 * 6, 17), (5 * 100, 3), (None, 3)):
+        got = loops.fit_synchronous(packed, layers, w, 0.05, 1e-4, steps, batch, optimizer, tasks)
+        assert np.allclose(got, plain_epochs(parts, w, layers, 10**6 if batch is None else batch // 5, steps, optimizer), atol=1e-6)
+
+
+def test_synchronous_without_rows(spark, placed):
+    w = learner.initial_weights([4, 3])
+    assert np.array_equal(loops.fit_synchronous(placed.limit(0), [4, 3], w, 0.1, 0.0, 5, 12), w)
+    with pytest.raises(ValueError):
+        loops.fit_synchronous(placed, [4, 3], w, 0.1, 0.0, 5, 1)
+
+
+def test_a_step_reads_the_buckets_of_its_keys(spark, placed):
+    data = loops.place(placed, KEYS)
+    assert rows(data.select("dist_key", "buffer_id")) == rows(placed.select("dist_key", "buffer_id"))
+    states = loops.kept(loops.init_states(configs(spark, 1), 4, 3))
+    step = loops.train_assigned(loops.on_keys(data, [1]), states.withColumn("dist_key", F.lit(1)))
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    chosen = re.findall(r"SelectedBucketsCount: (\d+) out of (\d+)", plan)
+    assert chosen and all(c == ("1", str(KEYS)) for c in chosen)
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "independent_var" in line]
+    assert {r.dist_key for r in step.collect()} == {1}
+
+
+@pytest.mark.parametrize("models,keys", [(2, 5), (5, 2), (3, 3)])
+def test_busy_keys(models, keys):
+    """Every key is busy at one step for each model."""
+    names, width = [10 * i for i in range(keys)], max(models, keys)
+    busy = [loops.busy_keys(s, names, models) for s in range(width)]
+    assert all(sum(k in b for b in busy) == models for k in names)
+
+
+def test_hopping_over_buckets_equals_hopping_in_memory(spark, placed):
+    states = loops.kept(loops.init_states(configs(spark, 2), 4, 3))
+    a, b = (loops.fit_model_hopper(d, states, 1)[0].orderBy("model_key").collect() for d in (placed, loops.place(placed, KEYS)))
+    assert [r.model_key for r in a] == [r.model_key for r in b] and all(np.allclose(x.w, y.w, atol=1e-6) for x, y in zip(a, b))
+
+
 def test_training_does_not_shuffle_the_data_again(spark, placed):
     states = loops.init_states(configs(spark, 1), 4, 3)
     from mselect.session import cut_lineage
