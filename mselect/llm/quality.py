@@ -73,13 +73,37 @@ def grams(hashes: Column) -> Column:
     return F.concat(ones, twos)
 
 
+#: Bits of the table that tells which rows may be trusted, whatever their number; false hits cost a few bytes a word, nothing else.
+MAYBE_BITS = 1 << 20
+
+
+def may_be(keys: DataFrame, key: str) -> Column:
+    """Whether a row's ``key`` may be one of ``keys``: a table of bits in the plan, of at most ``MAYBE_BITS`` / 64 gathered words."""
+    place = F.xxhash64(key).bitwiseAND(MAYBE_BITS - 1)
+    bits = keys.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(xxhash64(`{key}`) & 63 AS int))").alias("bit"))
+    table = [0] * (MAYBE_BITS // 64)
+    for r in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        table[r["word"]] = r["bits"]
+    constant = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    word = F.get(constant, F.shiftright(place, 6).cast("int"))
+    return F.col(key).isNotNull() & (word.bitwiseAND(F.expr(f"shiftleft(1L, cast(xxhash64(`{key}`) & 63 AS int))")) != 0)
+
+
 def ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(bucket, ratio): the log ratio of the trusted documents' multinomial to that of all. ``trusted`` has the keys to trust."""
-    chosen = trusted.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_trusted", F.lit(1))
-    rows = docs.select(key, text).join(chosen, key, "left").select(
-        F.coalesce("_trusted", F.lit(0)).alias("_trusted"),
-        F.explode(let(F.transform(words(text), lambda w: F.xxhash64(w)), grams)).alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), F.sum("_trusted").alias("ours"))
+    """(bucket, ratio): the log ratio of the trusted documents' multinomial to that of all. ``trusted`` has the keys to trust.
+
+    Rows that can't be trusted are counted where they are read. Only those that may be, by ``may_be``, meet ``trusted``, as buckets of two bytes; no text moves.
+    """
+    chosen = written(trusted.select(key).where(F.col(key).isNotNull()).distinct(), "trusted")
+    maybe = may_be(chosen, key)
+    own = let(F.transform(words(text), lambda w: F.xxhash64(w)), grams)
+    apart = docs.where(~maybe).select(F.explode(own).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("all"))
+    short = F.transform(own, lambda b: (b - BUCKETS // 2).cast("smallint"))
+    near = docs.where(maybe).select(key, short.alias("_short")).join(chosen.withColumn("_trusted", F.lit(1)), key, "left")
+    near = near.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), F.explode("_short").alias("_b")).groupBy("_b").agg(
+        F.count(F.lit(1)).alias("all"), F.sum("_trusted").alias("ours"))
+    near = near.select((F.col("_b").cast("int") + BUCKETS // 2).alias("bucket"), "all", "ours")
+    counts = apart.withColumn("ours", F.lit(0).cast("long")).unionByName(near).groupBy("bucket").agg(F.sum("all").alias("all"), F.sum("ours").alias("ours"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
     every = written(every, "buckets")
     sums = every.agg(F.sum("all").alias("n_all"), F.sum("ours").alias("n_ours")).first()  # two numbers
