@@ -173,3 +173,16 @@ def settle(keys: DataFrame, sketches: DataFrame, possible: Callable[[str, str],
     rest = rest.where(first("a_", "b_")) if first else rest
     labels = merged(rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), labels)
     return labels.select("node", F.col("comp").alias("root"))
+
+
+def smallest_keys(rows: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """(key, n, component): every row of ``rows`` (key, node, n) with the smallest key of its component. Without words (n = 0) that is its own.
+
+    Null keys are passed over; a component of null keys alone has a null.
+    """
+    full = rows.where("n > 0")
+    least = full.groupBy("node").agg(F.min(key).alias("least"))
+    joined = written(least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "joined")
+    labels = joined.join(joined.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
+    bare = rows.where("n = 0").select(key, "n", F.col(key).alias("component"))
+    return full.join(written(labels, "labels"), "node").select(key, "n", "component").unionByName(bare)

@@ -138,9 +138,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     roots = linking.settle(entries(apart, distance, chunks), apart.select("node", *_SKETCH), possible, sets, verdict,
                            lambda p, q: first_shared(p, q, chunk_choices(distance, chunks)))
-    joined = written(classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "joined")
-    least = joined.groupBy("root").agg(F.min("least").alias("component"))
-    labels = written(joined.join(least, "root").select("node", "component"), "labels")
-    full = rows.where("n > 0").join(labels, "node").select(key, "n", "component")
-    bare = rows.where("n = 0").select(key, "n", F.col(key).alias("component"))
-    return full.unionByName(bare).select(key, F.col("n").alias("n_shingles"), "component", (F.col(key) == F.col("component")).alias("kept"))
+    out = linking.smallest_keys(rows, roots, key)
+    return out.select(key, F.col("n").alias("n_shingles"), "component", (F.col(key) == F.col("component")).alias("kept"))

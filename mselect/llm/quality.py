@@ -99,7 +99,9 @@ def ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     own = let(F.transform(words(text), lambda w: F.xxhash64(w)), grams)
     apart = docs.where(~maybe).select(F.explode(own).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("all"))
     short = F.transform(own, lambda b: (b - BUCKETS // 2).cast("smallint"))
-    near = docs.where(maybe).select(key, short.alias("_short")).join(chosen.withColumn("_trusted", F.lit(1)), key, "left")
+    # always this join, so that what moves doesn't depend on the number of labels
+    flags = chosen.withColumn("_trusted", F.lit(1)).hint("merge")
+    near = docs.where(maybe).select(key, short.alias("_short")).join(flags, key, "left")
     near = near.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), F.explode("_short").alias("_b")).groupBy("_b").agg(
         F.count(F.lit(1)).alias("all"), F.sum("_trusted").alias("ours"))
     near = near.select((F.col("_b").cast("int") + BUCKETS // 2).alias("bucket"), "all", "ours")

@@ -1,20 +1,14 @@
-"""Near-duplicates: SimHash fingerprints of word shingles, linked through multi-index hashing, and copies by the shingles themselves.
+"""Near-duplicates: SimHash fingerprints of word shingles, linked through multi-index hashing.
 
 A fingerprint of 64 bits is cut into segments. Two fingerprints that differ in at most ``distance`` bits differ in at most
 ``distance // segments`` bits of one of them, so looking up a small Hamming ball around each segment value in a table of
 segment values finds every such pair; the full distance is then verified inside the join. Equal fingerprints are one
 entry of the tables, whatever the number of their documents.
-
-``near_copies`` finds candidates by bands of smallest hash values and decides by the exact Jaccard similarity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
-from math import acos, pi
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from mselect.llm import words
 from mselect.llm.common import arrow_map, written
 
 
@@ -131,181 +124,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     smallest = joined.groupBy("root").agg(F.min("least").alias("component"))
     labels = written(joined.join(smallest, "root").select("fp", "component"), "labels")
     return rows.join(labels, "fp").select(key, "fp", "component")
-
-
-PARTS = 4  # words of a long fingerprint
-
-
-def long_fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 5) -> DataFrame:
-    """(key, f0, f1, f2, f3): a fingerprint of 256 bits of every text, from its different shingles. Texts without words have zeros."""
-    kind = docs.schema[key].dataType.simpleString()
-    salts = np.arange(1, PARTS + 1, dtype=np.uint64) * words._BASE
-
-    def sketch(hashes: np.ndarray) -> np.ndarray:
-        own = words.distinct_shingles(hashes, shingle)
-        ones = np.zeros(64 * PARTS, np.int64)
-        for i in range(0, len(own), 20_000):
-            every = np.stack([words.mix(own[i: i + 20_000] + salt) for salt in salts], axis=1)
-            ones += np.unpackbits(every.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-        return np.packbits(2 * ones > len(own), bitorder="little").view(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = words.Powers()
-        for batch in batches:
-            for row, data, offsets in words.slices(batch.column(1)):
-                starts, ends, first = words.word_spans(data, offsets)
-                hashes = words.word_hashes(data, starts, ends, powers)
-                out = np.array([sketch(hashes[a:b]) for a, b in zip(first[:-1], first[1:])], np.int64).reshape(-1, PARTS)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(out)), *(pa.array(out[:, p]) for p in range(PARTS))],
-                                                 [key, *_F])
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{f} long" for f in _F))
-
-
-_F = [f"f{p}" for p in range(PARTS)]
-
-
-def bound(similar: float) -> int:
-    """Bits of 256 that texts with this Jaccard similarity differ in, by expectation and a standard deviation."""
-    p = acos(2 * similar / (1 + similar)) / pi
-    return round(64 * PARTS * p + (64 * PARTS * p * (1 - p)) ** 0.5)
-
-
-BANDS, ROWS = 24, 5  # of smallest hash values; two sets agree in a band of theirs with a probability of 1 - (1 - J**ROWS)**BANDS
-_ODD = [f"k{p}" for p in range(8)]  # words of an odd sketch
-
-
-def _sets(column: pa.Array, powers: words.Powers, shingle: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(first row, sorted different shingle hashes of each text) of slices of a column."""
-    for row, data, offsets in words.slices(column):
-        starts, ends, first = words.word_spans(data, offsets)
-        hashes = words.word_hashes(data, starts, ends, powers)
-        yield row, [words.distinct_shingles(hashes[a:b], shingle) for a, b in zip(first[:-1], first[1:])]
-
-
-def _digest(own: np.ndarray) -> tuple[int, int]:
-    """128 bits that tell sets of shingles apart."""
-    return tuple(int(words.mix(own + salt).sum(dtype=np.uint64).view(np.int64)) for salt in (words._BASE, words._BASE_INVERSE))
-
-
-def _odd_sketch(own: np.ndarray) -> np.ndarray:
-    """512 bits: which cells an odd number of shingles falls in. Sketches of two sets differ in no more bits than shingles are in one set alone."""
-    return np.packbits(np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=64 * len(_ODD)) & 1, bitorder="little").view(np.int64)
-
-
-def shingle_bands(docs: DataFrame, key: str, text: str, shingle: int = 5) -> DataFrame:
-    """(key, s0, s1, n, k0 to k7, places): digest, size and odd sketch of every text's set of shingles, a value for each band. No word: no band."""
-    kind = docs.schema[key].dataType.simpleString()
-    salts = words.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * words._BASE)[:, None]
-    factors = words.mix(salts) | np.uint64(1)
-
-    def bands(own: np.ndarray) -> list[int]:
-        least = np.full(BANDS * ROWS, ~np.uint64(0))
-        for i in range(0, len(own), 1000):
-            least = np.minimum(least, ((own[i: i + 1000] ^ salts) * factors).min(axis=1))
-        out = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for own_row in least.reshape(BANDS, ROWS).T:
-            out = words.mix(out * words._BASE + own_row)
-        return out.view(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = words.Powers()
-        for batch in batches:
-            for row, sets in _sets(batch.column(1), powers, shingle):
-                cells = np.array([[*_digest(own), len(own), *_odd_sketch(own)] for own in sets], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(sets)), *(pa.array(c) for c in cells.T.copy()),
-                     pa.array([bands(own) if len(own) else [] for own in sets], pa.list_(pa.int64()))], [key, "s0", "s1", "n", *_ODD, "places"])
-    kinds = ", ".join(f"{c} long" for c in ("s0", "s1", "n", *_ODD))
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, {kinds}, places array<long>")
-
-
-def shingle_sets(docs: DataFrame, key: str, text: str, shingle: int = 5) -> DataFrame:
-    """(key, s0, shingles): the sorted hashes of every text's different shingles, as bytes."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = words.Powers()
-        for batch in batches:
-            for row, sets in _sets(batch.column(1), powers, shingle):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(sets)), pa.array([_digest(own)[0] for own in sets], pa.int64()),
-                     pa.array([own.tobytes() for own in sets], pa.binary())], [key, "s0", "shingles"])
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, s0 long, shingles binary")
-
-
-def _similar(pairs: DataFrame, docs: DataFrame, key: str, text: str, similar: float, shingle: int) -> DataFrame:
-    """The pairs (a, b: id, s0, comp) whose sets of shingles have this Jaccard similarity. Only texts of ``pairs`` are read."""
-    pairs = written(pairs.distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a.id", "b.id")).alias("_id")).distinct()
-    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(ids, "_id", "left_semi")
-    sets = written(shingle_sets(texts, "_id", "_text", shingle).dropDuplicates(["_id", "s0"]), "sets")
-
-    def of(side: str) -> DataFrame:
-        return sets.select(F.struct(F.col("_id").alias("id"), "s0").alias(f"{side}_key"), F.col("shingles").alias(f"{side}_set"))
-    both = pairs.select("a", "b", *[F.struct(f"{s}.id", f"{s}.s0").alias(f"{s}_key") for s in "ab"]).join(of("a"), "a_key").join(of("b"), "b_key")
-    kind = pairs.schema["a"].dataType["comp"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                at = np.searchsorted(y, x)
-                same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                if same >= similar * (len(x) + len(y) - same) - 1e-9:
-                    keep.append(i)
-            if keep:
-                keep = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
-    return both.select(F.col("a.comp").alias("a"), F.col("b.comp").alias("b"), "a_set", "b_set").mapInArrow(run, f"a {kind}, b {kind}").distinct()
-
-
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(key, component): every row, with the smallest key of the texts that its words are nearly those of, its own included.
-
-    Two texts are linked if their sets of shingles have a Jaccard similarity of ``similar`` or more, which is counted on the sets;
-    components close links. Candidates agree in a band of five smallest hash values; of 24 bands a pair has such a one with a probability
-    of 0.9999 at a similarity of 0.8, more above, and hardly ever by chance, however many texts there are.
-
-    First the texts of a band's value are compared with the smallest and the largest of them, so that a group of copies becomes one
-    component without its pairs. Then only texts with different components are compared, if their sizes and odd sketches leave room
-    for the similarity, which no similar pair fails. Rows with null keys have a null component; rows with equal keys are one
-    document; texts without words are copies of each other.
-    """
-    named = docs.where(F.col(key).isNotNull())
-    rows = written(shingle_bands(named, key, text, shingle), "bands")
-    names = ["s0", "s1", "n"]
-    classes = written(rows.groupBy(*names, *_ODD).agg(F.min(key).alias("id"), F.first("places").alias("places")), "classes")
-    entries = classes.select("id", "s0", "n", *_ODD, F.explode("places").alias("place"))
-    shared = entries.groupBy("place").agg(F.min("s0").alias("lo"), F.max("s0").alias("hi")).where("lo <> hi").select("place")
-    fields = ["id", "s0", "n", "comp", *_ODD]
-    entries = written(entries.join(shared, "place").withColumn("comp", F.col("id")).select("place", *fields), "entries")
-    part = F.struct(*fields)
-    # a similar pair has at most this part of both sizes outside of what it shares; odd sketches never differ in more
-    outside = reduce(add, [F.bit_count(F.col(f"a.{k}").bitwiseXOR(F.col(f"b.{k}"))) for k in _ODD])
-    possible = ((F.least("a.n", "b.n") >= F.lit(similar) * F.greatest("a.n", "b.n") - 1e-9)
-                & (outside <= F.lit((1 - similar) / (1 + similar)) * (F.col("a.n") + F.col("b.n")) + 1e-9))
-
-    def merged(pairs: DataFrame) -> DataFrame:
-        bare = [F.struct(f"{s}.id", f"{s}.s0", f"{s}.comp").alias(s) for s in "ab"]
-        found = written(components(_similar(pairs.where(possible).select(*bare), named, key, text, similar, shingle)), "labels")
-        moved = entries.join(found, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "comp"))
-        return written(moved.select("place", *fields), "entries")
-
-    ends = entries.groupBy("place").agg(F.min(part).alias("lo"), F.max(part).alias("hi"))
-    stars = entries.select("place", part.alias("a")).join(ends.select("place", F.explode(F.array("lo", "hi")).alias("b")), "place")
-    entries = merged(stars.where("a.comp <> b.comp"))
-
-    # all pairs but those inside the commonest component of a value
-    sizes = entries.groupBy("place", "comp").agg(F.count(F.lit(1)).alias("size"))
-    several = sizes.groupBy("place").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    held = entries.join(several.select("place", "top"), "place").select("place", "top", part.alias("a"))
-    others = held.where("a.comp <> top")
-    pairs = others.join(held.select("place", F.col("a").alias("b")), "place").where("a.comp <> b.comp AND (b.comp = top OR a.comp < b.comp)")
-    entries = merged(pairs)
-
-    comps = entries.select("id", "comp").distinct()
-    # texts without a shared band stay alone; classes of one id have one component
-    labels = classes.select(*names, "id").join(comps, "id", "left").select(*names, F.coalesce("comp", "id").alias("component"))
-    smallest = rows.select(key, *names).join(labels, names).groupBy(key).agg(F.min("component").alias("component"))
-    return docs.select(key).join(smallest, key, "left")
