@@ -225,10 +225,11 @@ def label_index(spark, d):
 _MEAN, _STD = [0.485, 0.456, 0.406], [0.229, 0.224, 0.225]
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(range(60), lambda i: (CAST(embedding[i + 1] AS DOUBLE) / 255 - "
+@query("SELECT vec_id, round(list_sum(list_transform(range(66), lambda i: (coalesce(CAST(embedding[i + 1] AS DOUBLE), 0) / 255 - "
        f"list_extract({_MEAN}, CAST(i % 3 + 1 AS INT))) / list_extract({_STD}, CAST(i % 3 + 1 AS INT)))), 6) AS total FROM embeddings")
 def standardize(spark, d):
-    x = F.transform(F.slice("embedding", 1, 60), lambda v: v.cast("double"))
+    # three channels: 64 numbers and two zeros
+    x = F.concat(F.transform("embedding", lambda v: v.cast("double")), F.array(F.lit(0.0), F.lit(0.0)))
     src = table(spark, d, "embeddings").select("vec_id", x.alias("x"))
     return src.select("vec_id", _summed(feat.standardize("x", _MEAN, _STD)).alias("total"))
 

@@ -325,16 +325,36 @@ def fit_targeted(spark, d):
     return job.join(n, "dist_key").select("model_key", "dist_key", "n", F.col("loss_valid").isNotNull().alias("done"))
 
 
-@query()
+def _trial_sql(models: int, keys: int) -> str:
+    """Loss of each model over all rows after ``_hop_sql``."""
+    steps, width = _hop_sql(models, keys).rsplit(" SELECT m AS model_key", 1)[0], max(models, keys)
+    return (f"{steps}, z AS (SELECT m, vec_id, label, c, sum(v * w) AS z FROM cells JOIN w{width} USING (j) GROUP BY ALL), "
+            "q AS (SELECT m, label, c, z - ln(sum(exp(z)) OVER (PARTITION BY m, vec_id)) AS lp FROM z) "
+            "SELECT m AS model_key, round(-avg(lp), 4) AS loss FROM q WHERE c = label GROUP BY m")
+
+
+@query(_trial_sql(2, 3))
 def fit_task_parallel(spark, d):
-    data = loops.prepare(packed(spark, d, keys=3), 3)
-    return loops.fit_task_parallel(data, _states(spark, 2, "sanity", 32, rate=0.01), 1, data)[1]
+    data = loops.place(pack.pack_train(examples(spark, d), 1_000_000, 3, dist=F.pmod("id", F.lit(3)))[0], 3)
+    out = loops.fit_task_parallel(data, _states(spark, 2), 1, data, optimizer="sgd")[1]
+    return out.select("model_key", F.round("loss", 4).alias("loss"))
 
 
-@query()
+_RATES = [4.0, 2.0, 0.5]
+
+
+@query(f"WITH {_CELLS}, r AS (SELECT i - 1 AS m, list_extract({_RATES}, i) AS rate FROM range(1, {len(_RATES) + 1}) t(i)), "
+       "step AS (SELECT m, j, c, rate * avg((CAST(label = c AS INT) - 0.1) * v) AS w FROM cells, range(10) t(c), r WHERE vec_id % 4 <> 1 GROUP BY m, rate, j, c), "
+       "z AS (SELECT m, vec_id, label, c, sum(v * w) AS z FROM cells JOIN step USING (j) WHERE vec_id % 4 = 1 GROUP BY ALL), "
+       "q AS (SELECT m, vec_id, label, c, z - ln(sum(exp(z)) OVER (PARTITION BY m, vec_id)) AS lp, row_number() OVER (PARTITION BY m, vec_id ORDER BY z DESC, c) AS r FROM z) "
+       "SELECT rate, 1 AS epoch, round(-avg(lp), 4) AS loss, round(avg(CAST(q.r = 1 AS INT)), 4) AS metric, count(*) AS n FROM q JOIN r USING (m) WHERE c = label GROUP BY rate")
 def fit_grid(spark, d):
-    space = {"learning_rate": [0.01, 0.001], "lambda_value": [1e-4], "batch_size": [32], "model": ["sanity"]}
-    return loops.fit_grid(examples(spark, d), space, 1, 3, BUFFER)[1]
+    """A grid over the learning rate, fitted on three rows of four and judged on the others."""
+    space = {"learning_rate": _RATES, "lambda_value": [0.0], "batch_size": [1_000_000], "model": ["logistic"]}
+    df = examples(spark, d).withColumn("held", (F.col("id") % 4 == 1).cast("int"))
+    _, history, states = loops.fit_grid(df, space, 1, 1, 1_000_000, "held", optimizer="sgd")
+    named = history.join(states.select("model_key", F.col("learning_rate").alias("rate")), "model_key")
+    return named.select("rate", "epoch", F.round("loss", 4).alias("loss"), F.round("metric", 4).alias("metric"), "n")
 
 
 @query()
@@ -367,14 +387,14 @@ def epoch_dataset(spark, d):
     return loops.epoch_dataset(examples(spark, d).select("id"), 2018, 32, 3)
 
 
-@query("SELECT user_id AS model_id, max(n_name) AS model_name, count(DISTINCT event_id % 5) AS n, 5 AS epochs FROM events JOIN nation ON n_nationkey = user_id GROUP BY 1")
+@query("SELECT user_id AS model_id, max(c_name) AS model_name, count(DISTINCT event_id % 5) AS n, 5 AS epochs FROM events JOIN customer ON c_custkey = user_id GROUP BY 1")
 def join_info_summary(spark, d):
     from mselect.plans.reports import join_info_summary as report
 
     e = table(spark, d, "events")
     means = e.groupBy(F.col("user_id").alias("model_id"), (F.col("event_id") % 5).alias("e")).agg(F.avg("value").alias("v"))
     info = ordered_values(means, ["model_id"], "e", "v", "validation_metrics")
-    arch = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("model_id"), F.col("n_name").alias("name"))
+    arch = table(spark, d, "customer").select(F.col("c_custkey").alias("model_id"), F.col("c_name").alias("name"))
     summary = e.agg(F.sort_array(F.collect_set((F.col("event_id") % 5 + 1).cast("int"))).alias("metrics_iters"))
     return report(info, summary, arch).select("model_id", "model_name", F.size("validation_metrics").alias("n"), F.size("metrics_iters").alias("epochs"))
 
