@@ -182,11 +182,46 @@ def sample_space(spark, d):
     return out.withColumn("learning_rate", F.round("learning_rate", 9))
 
 
-@query()
+def _draw_sql(seed: int, key: str) -> str:
+    """The drawn fields of a row; the learning rate as its logarithm."""
+    u = "CAST('0x' || substr(md5(concat('{}|', {}, '|{}')), 1, 8) AS BIGINT) / 4294967296.0"
+    return (f"ln(0.00001) + (ln(0.1) - ln(0.00001)) * {u.format(seed, key, 'learning_rate')} AS lr, CAST(floor({u.format(seed, key, 'lambda_value')} * 2) AS INT) AS l, "
+            f"CAST(floor({u.format(seed, key, 'batch_size')} * 241) AS INT) + 16 AS b, CAST(floor({u.format(seed, key, 'model')} * 2) AS INT) AS m")
+
+
+_LO, _WIDE = "ln(0.00001)", "(ln(0.1) - ln(0.00001))"
+_BINS = (f"greatest(0, least(63, CAST(floor((lr - {_LO}) / {_WIDE} * 64) AS INT))) AS lr_bin, greatest(0, least(63, CAST(floor((b - 16) / 240.0 * 64) AS INT))) AS b_bin")
+
+
+def _suggest_sql(proposals: int) -> str:
+    """Parzen estimates over binned trials, all in log form."""
+    def kernel(field: str, wide: str) -> str:
+        bump = f"exp(-0.5 * pow((k.i - t.{field}) * {wide} / 64 / width, 2))"
+        return (f"{field}_d AS (SELECT good, k.i, ln((sum(n * {bump}) + any_value(width) / {wide}) / (any_value(width) * (any_value(total) + 1))) AS d FROM (SELECT good, {field}, count(*) AS n "
+                f"FROM trials GROUP BY ALL) t JOIN (SELECT good, total, {wide} / (1 + sqrt(total)) AS width FROM totals) USING (good), range(64) k(i) GROUP BY good, k.i)")
+
+    def share(field: str) -> str:
+        return (f"{field}_d AS (SELECT good, i, ln((1 + count(*) FILTER (WHERE {field} = i)) / (2.0 + count(*))) AS d FROM trials, range(2) k(i) GROUP BY good, i)")
+    ratios = ", ".join(f"{f}_r AS (SELECT g.i, g.d - h.d AS r FROM {f}_d g JOIN {f}_d h ON g.i = h.i WHERE g.good AND NOT h.good)" for f in ("lr_bin", "b_bin", "l", "m"))
+    return (f"WITH drawn AS (SELECT event_id, value, {_draw_sql(3, 'event_id')} FROM events), "
+            f"trials AS (SELECT {_BINS}, l, m, row_number() OVER (ORDER BY value, event_id) <= ceil(0.25 * count(*) OVER ()) AS good FROM drawn), "
+            f"totals AS (SELECT good, count(*) AS total FROM trials GROUP BY 1), {kernel('lr_bin', _WIDE)}, {kernel('b_bin', '240.0')}, {share('l')}, {share('m')}, {ratios}, "
+            f"pool AS (SELECT trial_id, c, {_draw_sql(2018, chr(39) + chr(39) + ' || trial_id || ' + chr(39) + '#' + chr(39) + ' || c')} FROM range(1000000000, {1_000_000_000 + proposals}) p(trial_id), range(24) q(c)), "
+            f"placed AS (SELECT trial_id, c, lr, l, b, m, {_BINS} FROM pool), "
+            "scored AS (SELECT p.*, lr_bin_r.r + b_bin_r.r + l_r.r + m_r.r AS s FROM placed p JOIN lr_bin_r ON lr_bin_r.i = p.lr_bin JOIN b_bin_r ON b_bin_r.i = p.b_bin "
+            "JOIN l_r ON l_r.i = p.l JOIN m_r ON m_r.i = p.m), "
+            "best AS (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY round(s, 9) DESC, c) AS rank FROM scored) "
+            "SELECT trial_id, round(exp(lr), 9) AS learning_rate, CASE WHEN l = 0 THEN 0.0001 ELSE 0.000001 END AS lambda_value, b AS batch_size, "
+            "CASE WHEN m = 0 THEN 'resnet18' ELSE 'resnet34' END AS model FROM best WHERE rank = 1")
+
+
+@query(_suggest_sql(64))
 def suggest_next(spark, d):
-    losses = table(spark, d, "events").groupBy((F.col("user_id") % 64).alias("trial_id")).agg(F.avg("value").alias("loss"))
+    """Proposals after a trial for every event."""
+    losses = table(spark, d, "events").select(F.col("event_id").alias("trial_id"), F.col("value").alias("loss"))
     trials = adaptive.draw(losses, spaces.GRIDS["search"], 3)
-    return adaptive.suggest_next(trials, spaces.GRIDS["search"], 8, 2018, 64)
+    out = adaptive.suggest_next(trials, spaces.GRIDS["search"], 64, 2018, 1_000_000_000)
+    return out.withColumn("learning_rate", F.round("learning_rate", 9))
 
 
 @query("WITH m AS (SELECT user_id AS trial_id, event_id % 5 AS e, avg(sqrt(value)) AS l FROM events WHERE user_id % 10 <> 0 GROUP BY ALL) SELECT t.trial_id, round(max_by(l, e), 6) AS loss "

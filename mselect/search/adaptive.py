@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mselect.operators.ranking import hash_fraction
+from mselect.operators.sequence import Ordered
 from mselect.session import cut_lineage
 
-MAX_TRIALS = 100_000
-
 
 def _choice(values: list, u: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.floor(u * len(values)).cast("int") + 1)
@@ -43,56 +42,70 @@ def sample_space(spark: SparkSession, space: Mapping, n: int, seed: int, start:
     return draw(spark.range(start, start + n).withColumnRenamed("id", "trial_id"), space, seed)
 
 
+#: Bins of a numeric field's range, for the densities of finished trials.
+BINS = 64
+
+
+def _bin(x: Column, lo: float, hi: float) -> Column:
+    """The bin of a number; what lies outside the range goes to the first or last one."""
+    place = F.floor((x - lo) / max(hi - lo, 1e-12) * BINS)
+    return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), place)).cast("int")
+
+
+def _number(field: str, values: list) -> Column:
+    """The place of a field's value among ``values``; null for others."""
+    return F.coalesce(*[F.when(F.col(field) == F.lit(v), F.lit(i)) for i, v in enumerate(values)]).cast("int")
+
+
+def _kernel(counts: np.ndarray, n: int, lo: float, hi: float) -> np.ndarray:
+    """Log density of each bin: equal-width normal kernels at the bins of ``n`` seen values and one over the whole range."""
+    centre = lo + (np.arange(BINS) + 0.5) * (hi - lo) / BINS
+    width = max((hi - lo) / (1 + np.sqrt(n)), 1e-12)
+    bumps = np.exp(-0.5 * ((centre[:, None] - centre) / width) ** 2) @ counts
+    return np.log((bumps + width / max(hi - lo, 1e-12)) / (width * (n + 1)))
+
+
 def suggest_next(trials: DataFrame, space: Mapping, c: int, seed: int, start: int, candidates: int = 24,
                  quantile: float = 0.25) -> DataFrame:
-    """The next ``c`` configurations by tree-structured Parzen estimates over the finished trials.
+    """The next ``c`` configurations by tree-structured Parzen estimates over the finished trials, however many there are.
 
-    Finished trials are split at a loss quantile; among ``candidates`` draws per proposal the one with the highest
-    ratio of good to bad density wins. Without two finished trials proposals are plain draws. The trial table has a row
-    per trained model, counted against MAX_TRIALS before it is read; candidates are scored by Spark.
+    Finished trials are split at a loss quantile by their place in the order of (loss, trial_id); among ``candidates`` draws per proposal the
+    one with the highest ratio of good to bad density wins, the earliest if equal. Densities are over bins of the ranges and over values, so
+    what comes to the driver, and what the plan holds, is one count a bin or value and side. Without two finished trials
+    proposals are plain draws.
     """
     spark = trials.sparkSession
-    done = trials.where(F.col("loss").isNotNull()).select("trial_id", "learning_rate", "lambda_value", "batch_size",
-                                                          "model", "loss")
-    rows = done.limit(MAX_TRIALS + 1).collect()
-    if len(rows) > MAX_TRIALS:
-        raise ValueError(f"more than {MAX_TRIALS} finished trials")
-    if len(rows) < 2:
+    lr, bs = [float(np.log(v)) for v in space["learning_rate"]], [float(v) for v in space["batch_size"]]
+    values = {"lambda_value": [float(v) for v in space["lambda_value"]], "model": list(space["model"])}
+    places = {"learning_rate": _bin(F.log("learning_rate"), *lr), "batch_size": _bin(F.col("batch_size").cast("double"), *bs),
+              **{f: _number(f, v) for f, v in values.items()}}
+    done = trials.where(F.col("loss").isNotNull()).select("trial_id", "loss", *[p.alias(f) for f, p in places.items()])
+    ranked = cut_lineage(Ordered(done, [], ["loss", "trial_id"]).position("_p").done())
+    n = ranked.count()
+    if n < 2:
         return sample_space(spark, space, c, seed, start)
-    rows.sort(key=lambda r: (r["loss"], r["trial_id"]))
-    cut = max(1, int(np.ceil(quantile * len(rows))))
-    good, bad = rows[:cut], rows[cut:] or rows[:cut]
+    cut = max(1, int(np.ceil(quantile * n)))
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("at")) for f in places])).alias("c")
+    counts = ranked.select((F.col("_p") < cut).alias("good"), cells).where("c.at IS NOT NULL").groupBy("good", "c.field", "c.at").count()
+    sides = {g: {f: np.zeros(len(values.get(f, range(BINS)))) for f in places} for g in (True, False)}
+    for r in counts.collect():  # one a bin or value and side
+        sides[r["good"]][r["field"]][r["at"]] = r["count"]
+    if cut >= n:
+        sides[False] = sides[True]
+
+    def ratio(field: str) -> list[float]:
+        logs = []
+        for good, size in ((True, min(cut, n)), (False, n - cut if cut < n else n)):
+            seen = sides[good][field]
+            logs.append(np.log((1 + seen) / (len(seen) + size)) if field in values else _kernel(seen, size, *(lr if field == "learning_rate" else bs)))
+        return (logs[0] - logs[1]).tolist()
 
     pool = spark.range(start, start + c).withColumnRenamed("id", "trial_id").withColumn(
         "candidate", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
-    pool = pool.withColumn("_id", F.concat_ws("#", "trial_id", "candidate"))
-    drawn = draw(pool, space, seed, "_id")
-
-    def kernel(x: Column, seen: list[float], lo: float, hi: float) -> Column:
-        """Log density: equal-width normal kernels at the seen values and one over the whole range."""
-        width = max((hi - lo) / (1 + np.sqrt(len(seen))), 1e-12)
-        marks = F.array(*map(F.lit, [float(s) for s in seen]))
-        bumps = F.aggregate(marks, F.lit(0.0), lambda a, m: a + F.exp(-0.5 * F.pow((x - m) / width, F.lit(2.0))))
-        return F.log((bumps + F.lit(width / max(hi - lo, 1e-12))) / F.lit(float(width * (len(seen) + 1))))
-
-    def shares(field: str, seen: list, values: list) -> Column:
-        weight = [(1 + sum(s == v for s in seen)) / (len(values) + len(seen)) for v in values]
-        out = F.lit(None).cast("double")
-        for v, p in zip(values, weight):
-            out = F.when(F.col(field) == F.lit(v), F.lit(float(np.log(p)))).otherwise(out)
-        return out
-
-    lr, bs = [np.log(v) for v in space["learning_rate"]], space["batch_size"]
-
-    def density(part: list) -> Column:
-        return (kernel(F.log("learning_rate"), [np.log(r["learning_rate"]) for r in part], lr[0], lr[1])
-                + kernel(F.col("batch_size").cast("double"), [r["batch_size"] for r in part], bs[0], bs[1])
-                + shares("lambda_value", [r["lambda_value"] for r in part], [float(v) for v in space["lambda_value"]])
-                + shares("model", [r["model"] for r in part], list(space["model"])))
-
-    scored = drawn.withColumn("_s", density(good) - density(bad))
+    drawn = draw(pool.withColumn("_id", F.concat_ws("#", "trial_id", "candidate")), space, seed, "_id")
+    score = sum((F.get(F.array(*map(F.lit, ratio(f))), p) for f, p in places.items()), F.lit(0.0))
     fields = F.struct("learning_rate", "lambda_value", "batch_size", "model")
-    return scored.groupBy("trial_id").agg(
+    return drawn.withColumn("_s", score).groupBy("trial_id").agg(
         F.max_by(fields, F.struct("_s", (-F.col("candidate")).alias("c"))).alias("r")).select("trial_id", "r.*")
 
 
