@@ -11,30 +11,36 @@ from pyspark.sql import functions as F
 
 from mselect.functions.features import normalize_array, one_hot
 from mselect.operators.sequence import Ordered, with_positions
+from mselect.session import kept
 
-MAX_CLASSES = 100_000
+def class_table(df: DataFrame, y: str = "y", blocks: int | None = None) -> DataFrame:
+    """The dictionary of a class column: (value, code), codes from 0 in the order of the values. Nulls are no class."""
+    values = df.select(F.col(y).alias("value")).where("value IS NOT NULL").distinct()
+    return kept(Ordered(values, [], ["value"], blocks).position("code").done().withColumn("code", F.col("code").cast("int")), "classes")
 
 
-def class_values(df: DataFrame, y: str = "y") -> list:
-    """The sorted distinct classes. More than MAX_CLASSES of them is an error: y is then no class column."""
-    found = [r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()]
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"column {y!r} has more than {MAX_CLASSES} classes")
-    return sorted(found)
+def _as_table(df: DataFrame, classes: Sequence | DataFrame, y: str) -> DataFrame:
+    if isinstance(classes, DataFrame):
+        return classes
+    kind = df.schema[y].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(classes)], f"value {kind}, code int")
 
 
-def pack(df: DataFrame, buffer_size: int, keys: int, classes: Sequence, norm: float = 1.0, id: str = "id", x: str = "x",
-         y: str = "y", dist: Column | None = None, blocks: int | None = None) -> DataFrame:
+def pack(df: DataFrame, buffer_size: int, keys: int, classes: Sequence | DataFrame, norm: float = 1.0, id: str = "id", x: str = "x",
+         y: str = "y", dist: Column | None = None, blocks: int | None = None, sparse: bool = False) -> DataFrame:
     """Rows (id, x, y) to buffers of at most ``buffer_size`` rows, spread over ``keys`` distribution keys.
 
     Buffers of a key are full but for the last one. y becomes one row of the identity matrix over ``classes``; an
-    unknown class becomes all zeros and is counted in ``unseen``.
+    unknown class becomes all zeros and is counted in ``unseen``. ``classes`` are values in the order of their codes, or a
+    ``class_table``, which is joined and may be of any size. With ``sparse`` a row of y holds the places of its ones alone: one place, or none for an
+    unknown class; ``dense_labels`` gives the wide form.
     """
     if dist is None:
         dist = F.pmod(F.xxhash64(id), F.lit(keys))
-    lookup = F.map_from_arrays(F.array(*map(F.lit, classes)), F.sequence(F.lit(0), F.lit(len(classes) - 1)))
-    code = F.try_element_at(lookup, F.col(y))
-    rows = df.select(dist.cast("int").alias("dist_key"), F.col(id).alias("_id"), F.col(x).alias("_x"), code.alias("_c"))
+    codes = _as_table(df, classes, y).select(F.col("value").alias("_value"), F.col("code").alias("_c"))
+    width = codes.count()
+    rows = df.select(dist.cast("int").alias("dist_key"), F.col(id).alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    rows = rows.join(codes, F.col("_y") == F.col("_value"), "left").drop("_y", "_value")
     placed = with_positions(rows, ["dist_key"], ["_id"], "_pos", blocks)
     features = F.col("_x") if norm == 1.0 else normalize_array("_x", norm)
     cell = F.struct(F.col("_pos").alias("p"), features.cast("array<float>").alias("x"), F.col("_c").alias("c"))
@@ -42,33 +48,44 @@ def pack(df: DataFrame, buffer_size: int, keys: int, classes: Sequence, norm: fl
     buffers = placed.groupBy("dist_key", F.floor(F.col("_pos") / buffer_size).cast("int").alias("buffer_id")).agg(
         F.sort_array(F.collect_list(cell)).alias("b"))
     n = F.size("b")
+
+    def label(r: Column) -> Column:
+        return F.array_compact(F.array(r["c"])) if sparse else one_hot(r["c"], width)
     return buffers.select(
         "dist_key", "buffer_id",
         F.transform("b", lambda r: r["x"]).alias("independent_var"),
-        F.transform("b", lambda r: one_hot(r["c"], len(classes))).alias("dependent_var"),
+        F.transform("b", label).alias("dependent_var"),
         F.array(n, F.size(F.col("b")[0]["x"])).alias("independent_var_shape"),
-        F.array(n, F.lit(len(classes))).alias("dependent_var_shape"),
+        F.array(n, F.lit(width)).alias("dependent_var_shape"),
         F.size(F.filter("b", lambda r: r["c"].isNull())).alias("unseen"),
     )
 
 
+def dense_labels(packed: DataFrame) -> DataFrame:
+    """Sparse labels as rows of the identity matrix."""
+    width = F.element_at("dependent_var_shape", 2)
+    zero, one = F.lit(0).cast("smallint"), F.lit(1).cast("smallint")
+    rows = F.transform("dependent_var", lambda r: F.when(F.size(r) == 0, F.array_repeat(zero, width)).otherwise(F.concat(
+        F.array_repeat(zero, F.get(r, F.lit(0))), F.array(one), F.array_repeat(zero, width - 1 - F.get(r, F.lit(0))))))
+    return packed.withColumn("dependent_var", rows)
+
+
 def pack_train(df: DataFrame, buffer_size: int, keys: int, **options) -> tuple[DataFrame, DataFrame]:
     """Packed training table and its summary (class values, normalizing constant, buffer size, key count)."""
-    classes = class_values(df, options.get("y", "y"))
+    classes = class_table(df, options.get("y", "y"), options.get("blocks"))
     packed = pack(df, buffer_size, keys, classes, **options)
-    summary = df.sparkSession.createDataFrame(
-        [([str(c) for c in classes], float(options.get("norm", 1.0)), buffer_size, keys)],
-        "class_values ARRAY<STRING>, normalizing_const DOUBLE, buffer_size INT, num_keys INT")
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("code", F.col("value").cast("string").alias("v")))), lambda c: c["v"])
+    summary = classes.agg(in_order.alias("class_values")).select(
+        "class_values", F.lit(float(options.get("norm", 1.0))).alias("normalizing_const"), F.lit(buffer_size).alias("buffer_size"),
+        F.lit(keys).alias("num_keys"))
     return packed.drop("unseen"), summary
 
 
 def pack_valid(df: DataFrame, summary: DataFrame, buffer_size: int, keys: int, **options) -> DataFrame:
     """Packed validation table that encodes labels with the training classes; keeps the ``unseen`` count."""
-    row = summary.first()
     kind = df.schema[options.get("y", "y")].dataType
-    texts = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(row["class_values"])], "i INT, c STRING")
-    classes = [r["c"] for r in texts.select("i", F.col("c").cast(kind)).orderBy("i").collect()]
-    return pack(df, buffer_size, keys, classes, norm=row["normalizing_const"], **options)
+    classes = kept(summary.select(F.posexplode("class_values").alias("code", "v")).select(F.col("v").cast(kind).alias("value"), "code"), "classes")
+    return pack(df, buffer_size, keys, classes, norm=summary.select("normalizing_const").first()[0], **options)
 
 
 def unpack(packed: DataFrame, keep: Sequence[str] = ("dist_key", "buffer_id")) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from mselect.functions.configs import CONFIG_FIELDS
 from mselect.operators.merging import merged_vectors
-from mselect.operators.packing import _buffer_starts, class_values, pack
+from mselect.operators.packing import _buffer_starts, class_table, pack
 from mselect.operators.ranking import split_rows
 from mselect.session import cut_lineage, ensure_checkpoint_dir, kept, ship_package
 from mselect.training import learner
@@ -489,7 +489,7 @@ def fit_grid(df: DataFrame, space: Mapping, epochs: int, keys: int, buffer_size:
 
     if validation_col is None:
         df, validation_col = split_rows(df, keys=[id]), "validation"
-    classes = class_values(df.where(F.col(validation_col) == 0), y)
+    classes = class_table(df.where(F.col(validation_col) == 0), y)
     parts = [prepare(pack(df.where(F.col(validation_col) == v), buffer_size, keys, classes, id=id, x=x, y=y).drop("unseen"),
                      keys) for v in (0, 1)]
     inputs, n = data_shape(parts[0])

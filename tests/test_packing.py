@@ -90,3 +90,24 @@ def test_valid_table_takes_classes_of_any_type(spark, kind):
     _, summary = pack.pack_train(df, 4, 2)
     valid = pack.pack_valid(df, summary, 4, 2)
     assert valid.agg(F.sum("unseen")).first()[0] == 0 and valid.first().dependent_var_shape[1] == 2
+
+
+def test_very_many_classes(spark):
+    """A million classes: no cap, no values in the plan, one place a row."""
+    n = 1_000_000
+    df = spark.range(n, numPartitions=8).select("id", F.array(F.lit(1.0)).alias("x"), F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("y"))
+    classes = pack.class_table(df)
+    packed = pack.pack(df.where("id % 1000 = 7"), 50, 4, classes, sparse=True)
+    assert len(packed._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    got = packed.select("dependent_var", "dependent_var_shape", "unseen").collect()
+    assert sorted(c for r in got for (c,) in r.dependent_var) == list(range(7, n, 1000))
+    assert all(r.dependent_var_shape[1] == n and r.unseen == 0 for r in got)
+
+
+def test_sparse_labels_are_the_dense_ones(spark):
+    rows_ = [(i, [float(i)], None if i == 5 else "abcz"[i % 4]) for i in range(20)]
+    df = spark.createDataFrame(rows_, "id bigint, x array<double>, y string")
+    args = (df, 6, 2, ["a", "b", "c"])
+    dense = pack.pack(*args).orderBy("dist_key", "buffer_id").collect()
+    assert pack.dense_labels(pack.pack(*args, sparse=True)).orderBy("dist_key", "buffer_id").collect() == dense
+    assert sum(r.unseen for r in dense) == 6
