@@ -14,7 +14,6 @@ and looked up in the same way for the baseline; they are known by a 64-bit hash.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +28,7 @@ from mselect.llm.common import written
 HOT = 1 << 20  # most entries of the table of frequent keys
 TASK_RUNS = 400_000  # runs that a task weights at once, about
 SLICE_BYTES = 2_000_000  # text that is worked on at once; bounds a task's memory
+SCORE_BYTES = 500_000  # text that is scored at once
 MERGE_BYTES = 8_000_000  # text whose counts a task merges before it hands them on
 RUN, WORD = 0, 1  # kinds of keys
 _U = np.uint64
@@ -217,50 +217,37 @@ def run_probabilities(counts: DataFrame, depth: int) -> DataFrame:
 
 
 class HotTable:
-    """Values of 64-bit keys in an open table; a key not in it has no value."""
+    """Values of 64-bit keys. An open table of 32-bit places points into keys and values, which stay as they are; a key not in it has no value."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys) * 2).bit_length())
-        size = 1 << self.bits
-        self.keys, self.used, self.values = np.zeros(size, np.uint64), np.zeros(size, bool), np.zeros(size)
-        left, self.tries = np.arange(len(keys)), 0
-        slot = self._slot(keys)
+        self.keys, self.values = keys, values
+        self.bits = max(4, (2 * len(keys) - 1).bit_length())
+        self.places = np.full(1 << self.bits, -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
         while len(left):
-            self.tries += 1
-            free = left[~self.used[slot[left]]]
+            free = left[self.places[slot[left]] < 0]
             _, first = np.unique(slot[free], return_index=True)
             put = free[first]
-            self.keys[slot[put]], self.values[slot[put]], self.used[slot[put]] = keys[put], values[put], True
-            left = np.setdiff1d(left, put, assume_unique=True)
-            slot[left] = (slot[left] + 1) & (size - 1)
+            self.places[slot[put]] = put
+            left = left[self.places[slot[left]] != left]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
+        return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int32)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values, or 0; places of the keys that have none)."""
-        slot = self._slot(keys)
-        hit = self.used[slot] & (self.keys[slot] == keys)
-        out = np.where(hit, self.values[slot], 0.0)
-        left = np.flatnonzero(~hit)
-        for _ in range(1, self.tries):
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-            here = slot[left]
-            hit = self.used[here] & (self.keys[here] == keys[left])
-            out[left[hit]] = self.values[here[hit]]
-            left = left[~hit]
-        return out, left
-
-
-_built: dict[str, dict[int, HotTable]] = {}
-
-
-def hot_tables(name: str, rows: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, HotTable]:
-    """The tables of frequent keys, built once in a worker: sent as rows they take a fifth of the place."""
-    if name not in _built:
-        _built.clear()
-        _built[name] = {k: HotTable(*r) for k, r in rows.items()}
-    return _built[name]
+        out, absent = np.zeros(len(keys)), np.ones(len(keys), bool)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(left):
+            place = self.places[slot]
+            inside = place >= 0  # an empty place ends the search
+            left, slot, place = left[inside], slot[inside], place[inside]
+            hit = self.keys[place] == keys[left]
+            out[left[hit]] = self.values[place[hit]]
+            absent[left[hit]] = False
+            left, slot = left[~hit], (slot[~hit] + 1) & ((1 << self.bits) - 1)
+        return out, np.flatnonzero(absent)
 
 
 def hot_rows(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -298,14 +285,14 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", de
     runs = run_probabilities(counts, depth).withColumn("kind", F.lit(RUN).cast("byte"))
     own = counts.where(F.col("kind") == WORD).select("key", F.log10(F.col("n_train") + 1).alias("value"), "n_all", "kind")
     model = written(runs.unionByName(own), "model")
-    frequent = docs.sparkSession.sparkContext.broadcast({k: hot_rows(model.where(F.col("kind") == k), hot) for k in (RUN, WORD)})
-    name = uuid.uuid4().hex
+    # at most ``hot`` keys a kind: 24 MB each, read in place by the workers
+    frequent = docs.sparkSession.sparkContext.broadcast({k: HotTable(*hot_rows(model.where(F.col("kind") == k), hot)) for k in (RUN, WORD)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, number = words.Powers(), TaskContext.get().partitionId() << 40
-        table = hot_tables(name, frequent.value)
+        table = frequent.value
         for batch in batches:
-            for row, data, offsets in words.slices(batch.column(2), SLICE_BYTES):
+            for row, data, offsets in words.slices(batch.column(2), SCORE_BYTES):
                 n = len(offsets) - 1
                 starts, stops, word_first = words.word_spans(data, offsets)
                 hashes = words.word_hashes(data, starts, stops, powers)
