@@ -2,7 +2,8 @@
 
 The standard library's parser reports a page piece by piece. A line is the text between two block-level tags; its ratio is its characters over
 the tags seen since the line before. Text inside menus, forms, notices and the like (by element, role, class or id) and text of links
-counts as none. The ratios are smoothed by a Gaussian and split into two clusters by a threshold; the lines of the upper cluster
+counts as none. An inline element of that kind (a share count, an icon) is left out of its block and doesn't end it; a link of such a class stays if its block
+says more beside such links than in them. The ratios are smoothed by a Gaussian and split into two clusters by a threshold; the lines of the upper cluster
 select the region of the page that is its content, and the lines of that region are the text.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +23,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong "
                    "sub sup time tt u var wbr br".split())
 SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title textarea select option button".split())
+WITHIN = SILENT - {"head", "title"}  # these end no block
 AROUND = frozenset("nav footer aside form menu dialog fieldset".split())
+DROPPED, LINK = "dropped", "link"
 ROOTS = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = frozenset(
@@ -33,62 +37,97 @@ _UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 _NAME = re.compile(r"[^a-z0-9]+")
 
 
+class Element(NamedTuple):
+    tag: str
+    around: bool  # whether blocks in it are around the content
+    root: int  # number of the article or main element it is in, 0 for none
+    inline: str = ""  # of an inline element: DROPPED or LINK
+
+
 class Lines(HTMLParser):
     """Collects (text, characters that count, tags, root) of each line; a root is an article or main element, 0 for none."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # element, whether it is around the content, its root
-        self.parts: list[str] = []
-        self.tags = self.linked = self.links = self.roots = 0
-        self.around = False
+        self.open: list[Element] = []  # blocks, and inline elements that change what becomes of their text
+        self.parts: list[str | None] = []  # None for a piece of ``named``
+        self.named: list[str] = []  # texts of links that look like no content
+        self.tags = self.linked = self.links = self.roots = self.ended = 0  # ended: roots, after which one in a block of comments is a comment
+        self.around = False  # of the innermost block
 
     def _line(self) -> None:
-        text = " ".join("".join(self.parts).split())
+        plain = sum(len(p.strip()) for p in self.parts if p is not None)
+        if plain > sum(len(p.strip()) for p in self.named):
+            named = iter(self.named)
+            self.parts = [next(named) if p is None else p for p in self.parts]
+            self.linked += sum(len(p.strip()) for p in self.named)
+        text = " ".join("".join(p or "" for p in self.parts).split())
         if text:
-            counted = 0 if self.around else max(0, len(text) - self.linked)
-            self.lines.append((text, counted if not self.around else -1, self.tags, self.open[-1][2] if self.open else 0))
+            counted = -1 if self.around else max(0, len(text) - self.linked)
+            self.lines.append((text, counted, self.tags, self.open[-1].root if self.open else 0))
             self.tags = 0
-        self.parts, self.linked = [], 0
+        self.parts, self.named, self.linked = [], [], 0
+
+    def _hidden(self, attrs: list[tuple[str, str | None]]) -> bool:
+        a = {k: v or "" for k, v in attrs if k in ("style", "hidden", "aria-hidden")}
+        return bool(a) and ("hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", ""))))
 
     def _around(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in AROUND or tag in SILENT:
             return True
-        if tag == "header" and not (self.open and self.open[-1][2]):
+        if tag == "header" and not (self.open and self.open[-1].root):
             return True
-        a = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "style", "hidden", "aria-hidden")}
-        if not a or tag in ("html", "body", *ROOTS):
+        if not attrs or tag in ("html", "body") or (tag in ROOTS and not self.ended):
             return False
-        return ("hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES
-                or bool(_HIDDEN.search(a.get("style", "")))
+        a = {k: v or "" for k, v in attrs if k in ("class", "id", "role")}
+        return (self._hidden(attrs) or a.get("role", "").lower() in ROLES
                 or not NAMES.isdisjoint(_NAME.split(f"{a.get('class', '')} {a.get('id', '')}".lower())))
 
+    def _silent(self) -> bool:
+        """Whether this is inside an element of which nothing is shown."""
+        for e in reversed(self.open):
+            if e.tag in SILENT or not e.inline:
+                return e.tag in SILENT
+        return False
+
     def _state(self) -> None:
-        self.around = bool(self.open) and self.open[-1][1]
+        self.around = next((e.around for e in reversed(self.open) if not e.inline), False)
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
+        above = self.open[-1] if self.open else Element("", False, 0)
         if tag == "a":
-            self.links += 1
-        if tag not in INLINE:
+            self.links = 1  # links don't nest
+            if above.inline:
+                self._close(tag)
+                above = self.open[-1] if self.open else Element("", False, 0)
+        if above.inline == DROPPED and tag not in VOID and tag not in ROOTS and (tag in INLINE or self._silent()):
+            self.open.append(Element(tag, True, above.root, DROPPED))
+            return
+        if tag not in INLINE and tag not in WITHIN:
             self._line()
             if tag == "p" or tag == "li":
                 self._close(tag, ("div", "ul", "ol", "article", "section", "main", "table"))
         if tag in VOID:
             return
         around = self._around(tag, attrs)
-        if tag in INLINE and not around:
-            return  # such elements are often left open, and they change nothing
-        root = self.open[-1][2] if self.open else 0
+        if tag in INLINE or tag in WITHIN:
+            if above.inline or (around and not above.around):
+                link = tag == "a" and not self._hidden(attrs) if around else above.inline == LINK
+                self.open.append(Element(tag, True, above.root, LINK if link and above.inline != DROPPED else DROPPED))
+            elif tag in WITHIN:
+                self.open.append(Element(tag, True, above.root, DROPPED))
+            return  # other such elements are often left open, and they change nothing
+        root = above.root
         if tag in ROOTS:
             self.roots += 1
             root = self.roots
-            if not any(name in AROUND for name, _, _ in self.open):  # ends what was left open before it
-                self.open = [e for e in self.open if not e[1]]
-        self.open.append((tag, around or (bool(self.open) and self.open[-1][1]), root))
+            if not self.ended and not any(e.tag in AROUND for e in self.open):  # the first ends what was left open before it
+                self.open = [e for e in self.open if not e.around]
+        self.open.append(Element(tag, around or (bool(self.open) and self.open[-1].around), root))
         self._state()
 
     def handle_startendtag(self, tag, attrs):
@@ -98,24 +137,34 @@ class Lines(HTMLParser):
 
     def _close(self, tag: str, walls: tuple[str, ...] = ()) -> None:
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self._line()
+            e = self.open[i]
+            if e.tag == tag:
+                blocks = any(not x.inline for x in self.open[i:])
+                self.ended += tag in ROOTS
+                if blocks:
+                    self._line()
                 del self.open[i:]
-                self._state()
+                if blocks:
+                    self._state()
                 return
-            if self.open[i][0] in walls:
+            if e.tag in walls or (tag in INLINE and not e.inline):  # the end of an inline element ends no block
                 return
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag == "a":
-            self.links = max(0, self.links - 1)
-        if tag not in INLINE:
+            self.links = 0
+        if tag not in INLINE and tag not in WITHIN and not (self.open and self.open[-1].tag == tag and self.open[-1].inline):
             self._line()
         self._close(tag)
 
     def handle_data(self, data):
-        if self.open and self.open[-1][0] in SILENT:
+        kind = self.open[-1].inline if self.open else ""
+        if kind == DROPPED or (self.open and self.open[-1].tag in SILENT):
+            return
+        if kind == LINK:
+            self.parts.append(None)
+            self.named.append(data)
             return
         self.parts.append(data)
         if self.links:

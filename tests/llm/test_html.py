@@ -1,5 +1,8 @@
 """Main text of pages with known content."""
 
+import random
+from html import escape
+
 import pytest
 
 from mselect.llm.html import extract, main_text, smoothed, threshold
@@ -55,3 +58,50 @@ def test_table(spark):
                                "page_id long, url string, html string, text string")
     assert sorted(map(tuple, extract(df).collect()), key=repr) == sorted([(1, "u", "x y", 3), (None, None, "", 0), (1, "u", "x y", 3)], key=repr)
     assert extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("block,text", [
+    ('Hello there good reader <span class="share-count">3</span> this is the rest', "Hello there good reader this is the rest"),
+    ('First part <i class="icon-share"></i> second part', "First part second part"),
+    ('Read <a class="social-link">this page</a> and learn more', "Read this page and learn more"),
+    ('Read <a class="social-link" hidden>this page</a> and learn more', "Read and learn more"),
+    ('A <span class="share"><span>3</span> <b>shares <i class="icon-share">x</i></b> so far</span> text goes on', "A text goes on"),
+    ('A <span class="ad"><b>left open</span> text goes on', "A text goes on"),
+    ('Go <a class="share-a">to the <b>first</b><a class="share-b"> or second</a> of these many long pages', "Go to the first or second of these many long pages"),
+    ('Share: <a class="share">on the one side</a> <a class="share">or on the other</a>', "Share:"),
+    ('A script <script>var x = "<p>"</script>and a <svg><g><text>drawing</text></g></svg> or <button>button</button> between', "A script and a or between"),
+    ('Text <select><option>a<option>b</select>with a choice', "Text with a choice"),
+])
+def test_inline_elements_leave_their_block_whole(block, text):
+    for page in (f"<article><p>{block}</p>{BODY}</article>", f"<article><h1>T</h1><div>{block}</div>{BODY}</article>"):
+        assert main_text(page).split("\n")[-6] == text
+    assert main_text(f"{AROUND}<div>{BODY}<p>{block}{' and on' * 9}</p>{BODY}</div>{AFTER}").split("\n")[5].startswith(text.split("<")[0][:6])
+
+
+def test_built_pages():
+    """Pages put together from known blocks: what is said in the article's own blocks comes out, and nothing else."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefg é&<", k=rng.randint(1, 8))).strip() or "x"
+    for _ in range(300):
+        blocks, want = [], []
+        for _ in range(rng.randint(1, 12)):
+            pieces, said = [], []
+            for _ in range(rng.randint(1, 9)):
+                w = word()
+                shown = escape(w)
+                kind = rng.randint(0, 7)
+                if kind == 0:
+                    pieces.append(f'<span class="{rng.choice(["share-count", "ad", "icon hidden"])}"><b>{shown}</b></span>')
+                    continue
+                if kind == 1:
+                    shown = f"<b>{shown}</b>"
+                elif kind == 2:
+                    shown = f'<span class="note">{shown}</span>'
+                pieces.append(shown)
+                said.append(w)
+            tag = rng.choice(["p", "h2", "blockquote", "pre", "div"])
+            blocks.append(f"<{tag}>{' '.join(pieces)}</{tag}>")
+            if said:
+                want.append(" ".join(" ".join(said).split()))
+        if want:
+            assert main_text(f"<body>{AROUND}<article>{''.join(blocks)}</article>{AFTER}</body>") == "\n".join(want)
