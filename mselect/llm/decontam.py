@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from mselect.llm import words
 from mselect.llm.common import written
 
-MASKS = ("111011011", "1101100101011", "11100100110111")
+MASKS = ("111011011", "111101111", "1101100101011", "11100100110111")  # for every period from 5 on one of them misses all tokens replaced at it
 BITS = 1 << 23  # of the bit table: a megabyte
+LEAST = 13  # equal tokens of an overlap with a longer item
 AROUND = 64  # tokens kept on either side of a hit
 
 _INK = words._INK.copy()
@@ -79,8 +80,21 @@ def item_tokens(items: DataFrame, key: str, text: str) -> DataFrame:
     return items.select(key, text).mapInArrow(run, f"{key} {kind}, tokens array<long>").where("size(tokens) > 0")
 
 
-def item_seeds(items: DataFrame, masks: Sequence[str], key: str) -> DataFrame:
-    """(seed, hash, key, place) for every position of every item. An item shorter than a mask is one seed of all its tokens."""
+def own_masks(masks: Sequence[str], n: int, least: int = LEAST) -> set[str]:
+    """The masks of an item of ``n`` tokens: those that fit and, below ``least`` tokens, those of its length without one token.
+
+    So one replaced token doesn't lose an item of four tokens or more; a shorter one must be equal.
+    """
+    fit = {m for m in masks if len(m) <= n}
+    if n >= least:
+        return fit
+    if n < 4:
+        return fit | {"1" * n}
+    return fit | {"1" * (n - 1)} | {"1" * i + "0" + "1" * (n - 1 - i) for i in range(1, n - 1)}
+
+
+def item_seeds(items: DataFrame, masks: Sequence[str], key: str, least: int = LEAST) -> DataFrame:
+    """(seed, hash, key, place) for every position of every item and each of its masks."""
     kind = items.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +102,7 @@ def item_seeds(items: DataFrame, masks: Sequence[str], key: str) -> DataFrame:
             rows = []
             for i, cell in enumerate(batch.column(1)):
                 tokens = cell.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                for mask in {m if len(m) <= len(tokens) else "1" * len(tokens) for m in masks}:
+                for mask in own_masks(masks, len(tokens), least):
                     at = np.arange(len(tokens) - len(mask) + 1)
                     rows += [(mask, h, i, p) for h, p in zip(seed_hashes(tokens, at, mask).view(np.int64).tolist(), at.tolist())]
             if rows:
@@ -177,17 +191,24 @@ def overlap(a: np.ndarray, b: np.ndarray, shift: int, penalty: float = 3.0) -> t
     return low + start, end - start, int(equal[start:end].sum())
 
 
+def whole_overlap(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, int]:
+    """As ``overlap``, from the first equal token to the last, however many between them are replaced."""
+    low, high = max(0, -shift), min(len(b), len(a) - shift)
+    at = np.flatnonzero(a[low + shift: high + shift] == b[low:high])
+    return (low + int(at[0]), int(at[-1] - at[0]) + 1, len(at)) if len(at) else (0, 0, 0)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id",
-                 item_text: str = "text", masks: Sequence[str] = MASKS, least: int = 13, similar: float = 0.75) -> DataFrame:
+                 item_text: str = "text", masks: Sequence[str] = MASKS, least: int = LEAST, similar: float = 0.75) -> DataFrame:
     """(doc_key, item_key, n_equal, n_overlap, doc_start, item_start, n_item): a row for each document and test item it overlaps with.
 
     An overlap has at least ``least`` equal tokens, or as large a part of a shorter item as ``similar``, and at least that part of
-    its tokens are equal. Of several overlaps of a pair the one with most equal tokens is given. Null texts have no token
+    its tokens are equal. An item shorter than ``least`` is compared as a whole, a longer one by its best stretch. Of several overlaps of a pair the one with most equal tokens is given. Null texts have no token
     and overlap with nothing; rows with null keys come out with the null; repeated rows give one. Other columns aren't read.
     """
     own = written(item_tokens(items.withColumnRenamed(item_key, "_item"), "_item", item_text), "items")
-    seeds = written(item_seeds(own, masks, "_item"), "seeds")
-    short = [r[0] for r in seeds.select("seed").distinct().where(~F.col("seed").isin(list(masks))).collect()]  # at most a mask's length
+    seeds = written(item_seeds(own, masks, "_item", least), "seeds")
+    short = [r[0] for r in seeds.select("seed").distinct().where(~F.col("seed").isin(list(masks))).collect()]  # at most ``least`` for each length below it
     every = [*masks, *sorted(short)]
     table = docs.sparkSession.sparkContext.broadcast(bit_table(seeds))
     found = passages(docs.withColumnRenamed(doc_key, "_doc"), every, table, "_doc", doc_text)
@@ -205,7 +226,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc
             shift, start = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for i in range(batch.num_rows):
                 a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (4, 5))
-                first, n, equal = overlap(a, b, shift[i])
+                first, n, equal = (overlap if len(b) >= least else whole_overlap)(a, b, shift[i])
                 if n and equal >= similar * n and (equal >= least or equal >= similar * len(b)):
                     keep.append(i)
                     rows.append((equal, n, start[i] + first + shift[i], first, len(b)))

@@ -109,3 +109,27 @@ def test_case_does_not_matter_in_any_language(spark):
     raw = pa.array([b"\xff\xc3\x89", b"\xff\xc3\xa9"], pa.binary()).view(pa.string())
     (_, hashes, _), = decontam._tokens(raw, words.Powers())
     assert hashes[0] == hashes[1]
+
+
+def test_regular_replacement_and_short_items(spark):
+    """Every fifth to ninth token replaced, at every phase; items of 2 to 12 tokens with each one token replaced."""
+    rng = random.Random(3)
+    items = {100: made(rng, 40)} | {n: [f"s{n}x{i}" for i in range(n)] for n in range(2, 13)}
+    docs, want = [], set()
+
+    def plant(item, replaced, found):
+        copy = ["other" if i in replaced else w for i, w in enumerate(items[item])]
+        docs.append(made(rng, 9) + copy + made(rng, 9))
+        if found:
+            want.add((len(docs) - 1, item))
+    for period in range(5, 10):
+        for phase in range(period):
+            plant(100, set(range(phase, 40, period)), True)
+    for n in range(2, 13):
+        plant(n, set(), True)
+        for i in range(n):
+            plant(n, {i}, n >= 4)
+        plant(n, set(range(0, n, 2)), n == 1)
+    got = contaminated(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"),
+                       spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
