@@ -123,6 +123,28 @@ def flat_index(packed: DataFrame, length: int | None = None, key: str = "dist_ke
     return wrapped.select(key, F.explode(places).alias("i"), "buffer_id", F.col("offset").cast("int").alias("offset"))
 
 
+def locate(asked: DataFrame, packed: DataFrame, wrap: bool = False, i: str = "i", key: str = "dist_key",
+           blocks: int | None = None) -> DataFrame:
+    """``asked`` with the (buffer_id, offset) of each asked position of a key, repeats kept; columns of these names are replaced.
+
+    The table is not turned into one row an example: buffers are intervals of positions, laid over bins as wide as the key's
+    mean buffer, so that they enter fewer than three bins each on average, and a position meets the intervals of its bin alone. With
+    ``wrap`` a position counts on past the end of its key and before its start. Other positions outside the key, those of
+    an unknown or empty key, and nulls get nulls. Only buffer shapes are read.
+    """
+    starts = _buffer_starts(packed, key, blocks).where("_n > 0").select(F.col(key).alias("_k"), "buffer_id", "_start", "_end")
+    totals = starts.groupBy("_k").agg(F.max("_end").alias("_total"), F.count(F.lit(1)).alias("_buffers")).select(
+        "_k", "_total", F.ceil(F.col("_total") / F.col("_buffers")).alias("_wide"))
+    bins = F.sequence(F.expr("_start div _wide"), F.expr("(_end - 1) div _wide"))
+    spans = starts.join(totals, "_k").select(F.col("_k").alias("_sk"), "buffer_id", "_start", "_end", F.explode(bins).alias("_sbin"))
+    known = asked.drop("buffer_id", "offset").join(totals, F.col(key) == F.col("_k"), "left")
+    place = F.col(i).cast("long")
+    known = known.withColumn("_at", F.pmod(place, "_total") if wrap else place).withColumn("_bin", F.expr("_at div _wide"))
+    inside = (F.col("_k") == F.col("_sk")) & (F.col("_bin") == F.col("_sbin")) & (F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_end"))
+    found = known.join(spans, inside, "left").withColumn("offset", (F.col("_at") - F.col("_start")).cast("int"))
+    return found.drop("_k", "_total", "_wide", "_at", "_bin", "_sk", "_sbin", "_start", "_end")
+
+
 def to_bytes(values: str | Column, dtype: str = "float32") -> Column:
     """Nested numbers as raw little-endian bytes, whole Arrow batches at a time."""
     code = np.dtype(dtype).newbyteorder("<")

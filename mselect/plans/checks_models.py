@@ -62,6 +62,13 @@ def flat_index(spark, d):
     return pack.flat_index(p, longest + 40)
 
 
+@query(f"WITH {_PACK_SQL}, t AS (SELECT dist_key, count(*) AS n FROM p GROUP BY 1), a AS (SELECT event_id, user_id % 11 AS dist_key, event_id * 7919 + user_id AS i FROM events) "
+       "SELECT event_id, a.dist_key, i, buffer_id, off AS \"offset\" FROM a LEFT JOIN t USING (dist_key) LEFT JOIN p ON p.dist_key = a.dist_key AND p.pos = i % n")
+def locate(spark, d):
+    asked = table(spark, d, "events").selectExpr("event_id", "CAST(user_id % 11 AS INT) AS dist_key", "event_id * 7919 + user_id AS i")
+    return pack.locate(asked, packed(spark, d), wrap=True)
+
+
 @query(f"WITH {_PACK_SQL} SELECT dist_key, buffer_id, concat(count(*), ',64') AS xs, concat(count(*), ',10') AS ys FROM p GROUP BY dist_key, buffer_id")
 def buffer_shapes(spark, d):
     return pack.buffer_shapes(packed(spark, d)).select("dist_key", "buffer_id", F.array_join("independent_var_shape", ",").alias("xs"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mselect.operators import aggregates as agg
+from mselect.operators import permuting
 from mselect.operators import ranking as rank
 from mselect.operators import relational as rel
 from mselect.operators import sequence as seq
@@ -496,6 +497,29 @@ def shuffle(spark, d):
     return rank.shuffle(table(spark, d, "events").select("event_id", "value"), 2018, "event_id")
 
 
+def _permutation_sql(seed: int, epochs: int, batch: int) -> str:
+    """The network over every cell of the rectangle, a table a round, then walks back into the range."""
+    steps = []
+    for r, (f, s, g) in enumerate(permuting.round_keys(seed)):
+        t = f"((r * {f} + epoch * {g} + {s}) % {permuting.WORD})"
+        steps.append(f"r{r + 1} AS (SELECT x, epoch, r AS l, (l + (({t} * {t}) >> 15)) % (SELECT {'b' if r % 2 else 'a'} FROM s) AS r FROM r{r})")
+    return (f"WITH RECURSIVE c AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM events), s AS (SELECT n, a, (n + a - 1) // a AS b FROM c), "
+            f"r0 AS (SELECT x, epoch, x % (SELECT a FROM s) AS l, x // (SELECT a FROM s) AS r FROM range((SELECT a * b FROM s)) q(x), range(1, {epochs + 1}) e(epoch)), "
+            f"{', '.join(steps)}, cells AS (SELECT x, epoch, r * (SELECT a FROM s) + l AS v FROM r{permuting.ROUNDS}), "
+            "walk AS (SELECT x, epoch, v FROM cells WHERE x < (SELECT n FROM s) UNION ALL "
+            "SELECT w.x, w.epoch, cells.v FROM walk w JOIN cells ON cells.x = w.v AND cells.epoch = w.epoch WHERE w.v >= (SELECT n FROM s)) "
+            f"SELECT event_id, epoch, v AS shuffled, v // {batch} AS minibatch, v % {batch} AS \"offset\" FROM walk "
+            "JOIN (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS x FROM events) USING (x) WHERE v < (SELECT n FROM s)")
+
+
+@query(_permutation_sql(2018, 3, 32))
+def shuffled_epochs(spark, d):
+    from mselect.operators.sequence import Ordered
+
+    e = Ordered(table(spark, d, "events").select("event_id"), [], ["event_id"]).position().done()
+    return permuting.shuffled_epochs(e, e.count(), 2018, 32, 3).drop("pos")
+
+
 @query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat('42|', o_orderkey)), o_orderkey) AS r, count(*) OVER () AS n FROM orders) "
        "WHERE r <= round_even(0.025 * n, 0)")
 def sample_exact(spark, d):

@@ -111,3 +111,32 @@ def test_sparse_labels_are_the_dense_ones(spark):
     dense = pack.pack(*args).orderBy("dist_key", "buffer_id").collect()
     assert pack.dense_labels(pack.pack(*args, sparse=True)).orderBy("dist_key", "buffer_id").collect() == dense
     assert sum(r.unseen for r in dense) == 6
+
+
+def test_locate_meets_flat_index(spark):
+    p = spark.createDataFrame([(0, 0, [3, 1]), (0, 1, [0, 1]), (0, 2, [2, 1]), (1, 0, [1, 1]), (1, 1, [9, 1]), (1, 2, [1, 1]), (2, 0, [0, 1])],
+                              "dist_key int, buffer_id int, dependent_var_shape array<int>")
+    asked = spark.createDataFrame([(k, i, "x") for k in (0, 1, 2, 7, None) for i in range(-3, 30)] + [(0, None, "y"), (0, 1, "z"), (0, 1, "z")],
+                                  "dist_key int, i int, buffer_id string")
+    index = {(k, i): (b, o) for k, i, b, o in pack.flat_index(p).collect()}
+    total = {0: 5, 1: 11}
+    for wrap in (False, True):
+        for blocks in (None, 5):
+            got = pack.locate(asked, p, wrap, blocks=blocks)
+            assert got.columns == ["dist_key", "i", "buffer_id", "offset"]
+            want = []
+            for k, i, _ in asked.collect():
+                at = i % total[k] if wrap and k in total and i is not None else i
+                want.append((k, i, *index.get((k, at), (None, None))))
+            assert rows(got) == sorted(want, key=repr)
+    assert pack.locate(asked, p.where("false")).where("buffer_id IS NULL").count() == asked.count()
+    assert pack.locate(asked.where("false"), p).count() == 0
+
+
+def test_locate_enters_few_bins(spark):
+    """One huge buffer among small ones doesn't fill the bins of all."""
+    p = spark.createDataFrame([(0, b, [100000 if b == 5 else 3, 1]) for b in range(200)], "dist_key int, buffer_id int, dependent_var_shape array<int>")
+    asked = spark.range(0, 100597, 7).select(F.lit(0).alias("dist_key"), F.col("id").alias("i"))
+    got = pack.locate(asked, p)
+    assert got.where("buffer_id IS NULL").count() == 0
+    assert got.where("buffer_id = 5 AND `offset` <> i - 15").count() == 0 and got.where("buffer_id > 5").count() > 80
