@@ -165,3 +165,11 @@ def stream_utilization(spark, d):
 def stream_event_gaps(spark, d):
     src = _stream(spark, d).select(F.col("user_id").alias("worker"), F.col("ts").alias("t"), F.col("event_type").alias("info"), F.col("event_id").alias("pos"))
     return streams.drain(streams.stream_event_gaps(src)).withColumn("seconds", F.round("seconds", 6))
+
+
+@query("WITH g AS (SELECT user_id, ts, event_type, lag(event_type) OVER w AS e0, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS s FROM events "
+       "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT CAST(user_id AS VARCHAR) AS worker, concat('Between-', e0, '-', event_type) AS event, "
+       "round(s, 6) AS seconds FROM g WHERE s <= 86400 AND ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)")
+def stream_late_gaps(spark, d):
+    src = _stream(spark, d).select(F.col("user_id").alias("worker"), F.col("ts").alias("t"), F.col("event_type").alias("info"), F.col("event_id").alias("pos"))
+    return streams.drain(streams.stream_late_gaps(src)).withColumn("seconds", F.round("seconds", 6))

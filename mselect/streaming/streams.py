@@ -88,3 +88,86 @@ def drain(stream: DataFrame, path: str | None = None) -> DataFrame:
         "checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/data")
+
+
+class _LateGapProcessor(StatefulProcessor):
+    """Keeps a worker's events until the watermark has passed them, and the last event that it has passed."""
+
+    def __init__(self, idle: int | None):
+        self._idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._waiting = handle.getListState("waiting", "micros LONG, tie LONG, info STRING")
+        self._last = handle.getValueState("last", "micros LONG, info STRING")
+
+    def _wake(self, micros: int) -> None:
+        # the first millisecond at which an event of this time is in the past
+        self._handle.registerTimer(micros // 1000 + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed, first = timerValues.getCurrentWatermarkInMs() * 1000, None
+        for pdf in rows:
+            pdf = pdf[pdf["micros"] >= passed]
+            if len(pdf):
+                self._waiting.appendList(list(zip(pdf["micros"].tolist(), pdf["tie"].tolist(), pdf["info"].tolist())))
+                low = int(pdf["micros"].min())
+                first = low if first is None else min(first, low)
+        if first is not None:
+            self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        waiting = [tuple(r) for r in self._waiting.get()] if self._waiting.exists() else []
+        due = sorted((r for r in waiting if r[0] < passed), key=lambda r: (r[0], r[1]))
+        last = self._last.get() if self._last.exists() else None
+        for micros, _, info in due:
+            if last is not None and (self._idle is None or micros - last[0] <= self._idle):
+                out.append((key[0], f"Between-{last[1]}-{info}", micros - last[0]))
+            last = (micros, info)
+        if due:
+            rest = [r for r in waiting if r[0] >= passed]
+            if rest:
+                self._waiting.put(rest)
+                self._wake(min(r[0] for r in rest))
+            else:
+                self._waiting.clear()
+            self._last.update(last)
+            if self._idle is not None:
+                self._wake(last[0] + self._idle)
+        elif last is not None and self._idle is not None and last[0] + self._idle < passed:
+            # any event still to come is more than the idle time away
+            self._last.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["worker", "event", "micros"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_late_gaps(source: DataFrame, lateness: str = "10 minutes", idle: float | None = 86400.0, worker: str = "worker",
+                     time: str = "t", info: str = "info", tie: str = "pos") -> DataFrame:
+    """Adjacent events of each worker whatever the order they arrive in: (worker, event, seconds).
+
+    An event waits until the watermark, ``lateness`` behind the latest time seen, has passed it; then all events
+    before it are known, and its gap is given. The result is that of ``event_gaps`` on the events before the watermark, equal times in
+    the order of ``tie``. Events that come behind the watermark are left out, as are rows without a time. Gaps of more than ``idle``
+    seconds are left out, so a worker that has been silent for that time leaves no state; with None no gap is left out and a worker's
+    last event is kept for good. State is the events of one lateness, in RocksDB, sorted when their timer fires.
+    """
+    spark = source.sparkSession
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    ntz = source.schema[time].dataType.typeName() == "timestamp_ntz"
+    micros = F.timestamp_diff("MICROSECOND", epoch, F.col(time)) if ntz else F.unix_micros(time)
+    rows = source.where(F.col(time).isNotNull()).select(
+        F.coalesce(F.col(worker).cast("string"), F.lit("")).alias("worker"), micros.alias("micros"),
+        F.coalesce(F.col(info).cast("string"), F.lit("")).alias("info"), F.col(tie).cast("long").alias("tie"))
+    # through microseconds, so that no time zone shifts a time without zone
+    timed = rows.withColumn("at", F.timestamp_micros("micros")).withWatermark("at", lateness)
+    gaps = timed.groupBy("worker").transformWithStateInPandas(
+        statefulProcessor=_LateGapProcessor(None if idle is None else round(idle * 1e6)), outputStructType=GAP_SCHEMA,
+        outputMode="append", timeMode="eventtime")
+    return gaps.select("worker", "event", (F.col("micros") / 1e6).alias("seconds"))
