@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mselect.functions import architecture as arch
@@ -351,3 +353,16 @@ def unit_conversions(spark, d):
     return table(spark, d, "events").select(
         "event_id", F.round(cfg.error_rate(F.col("value") / 500), 9).alias("error"), F.round(cfg.to_hours("value"), 9).alias("hours"),
         F.round(cfg.machine_hours("value", 8, 5), 9).alias("machine"))
+
+
+@query("SELECT user_id % 7 AS worker, CAST(sum(strlen(l) + 1) OVER (PARTITION BY user_id % 7 ORDER BY event_id) - strlen(l) - 1 AS BIGINT) AS \"offset\", l AS value "
+       "FROM (SELECT user_id, event_id, concat(event_id, ' ', event_type, ' ', props) AS l FROM events)")
+def read_log_ranges(spark, d):
+    from mselect.session import ensure_checkpoint_dir
+    from mselect.sources.loglines import read_log_ranges as read
+
+    # a file a worker, its lines in the order of their events
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/loglines-{uuid.uuid4().hex}"
+    lines = table(spark, d, "events").select((F.col("user_id") % 7).alias("worker"), "event_id", F.concat_ws(" ", "event_id", "event_type", "props").alias("value"))
+    lines.repartition("worker").sortWithinPartitions("worker", "event_id").drop("event_id").write.partitionBy("worker").text(path)
+    return read(spark, path, 4096).select(F.regexp_extract("file", r"worker=(\d+)", 1).cast("long").alias("worker"), "offset", "value")
