@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mselect.functions.features import argmax
@@ -351,6 +353,20 @@ def fit_model_hopper(spark, d):
     return _flat(states.select("model_key", "w"))
 
 
+@query(_hop_sql(2, 3))
+def resumed_hopper(spark, d):
+    """The same run, its first epoch finished under its key by an earlier call, so that the second call only reads its steps."""
+    from mselect.session import ensure_checkpoint_dir
+    from mselect.sources.runs import Steps, fingerprint
+
+    source = table(spark, d, "embeddings")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/steps-{uuid.uuid4().hex}"
+    data = loops.place(pack.pack_train(examples(spark, d), 1_000_000, 3, dist=F.pmod("id", F.lit(3)))[0], 3)
+    for _ in range(2):
+        states, _ = loops.fit_model_hopper(data, _states(spark, 2), 1, optimizer="sgd", steps=Steps(spark, path, fingerprint(source, models=2, keys=3)))
+    return _flat(states.select("model_key", "w"))
+
+
 @query("SELECT DISTINCT 'success' AS status, e AS epoch, vec_id % 3 AS dist_key, m AS model_key, true AS done FROM embeddings, range(1, 3) t(e), range(2) s(m)")
 def fit_job_table(spark, d):
     data = loops.place(packed(spark, d, keys=3), 3)

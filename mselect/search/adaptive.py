@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mselect.operators.ranking import hash_fraction
 from mselect.operators.sequence import Ordered
 from mselect.session import cut_lineage
+from mselect.sources.runs import Steps
 
 
 def _choice(values: list, u: Column) -> Column:
@@ -117,19 +118,29 @@ def record_losses(trials: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def search(spark: SparkSession, space: Mapping, train: Callable[[DataFrame], DataFrame], max_configs: int = 32, c: int = 8,
-           seed: int = 2018, table: str | None = None) -> DataFrame:
+           seed: int = 2018, table: str | None = None, steps: Steps | None = None) -> DataFrame:
     """Propose ``c`` configurations, train them, record their losses, until ``max_configs`` are done.
 
     ``train`` takes trials (trial_id, configuration) and returns (trial_id, epoch, loss_valid). The trial table is
-    written after every round: to the checkpoint folder, and to ``table`` when named.
+    written after every round: to the checkpoint folder, and to ``table`` when named. With ``steps`` the proposals and the results of each
+    round are kept there, and a search that was stopped goes on with the round it was in; its key must stand for the space, the
+    seed, ``c`` and what ``train`` trains on (``runs.fingerprint``).
     """
     trials = None
     for done in range(0, max_configs, c):
         size = min(c, max_configs - done)
-        batch = sample_space(spark, space, size, seed, done) if trials is None else suggest_next(
-            trials, space, size, seed, done)
-        batch = cut_lineage(batch.withColumn("batch", F.lit(done // c)))
-        finished = record_losses(batch, train(batch.drop("batch")))
+        turn = f"{done // c}-of-{size}"
+
+        def propose(trials=trials, size=size, done=done):
+            drawn = sample_space(spark, space, size, seed, done) if trials is None else suggest_next(trials, space, size, seed, done)
+            return drawn.withColumn("batch", F.lit(done // c))
+
+        batch = cut_lineage(propose()) if steps is None else steps.run(f"proposals-{turn}", propose)
+
+        def finish(batch=batch):
+            return record_losses(batch, train(batch.drop("batch")))
+
+        finished = finish() if steps is None else steps.run(f"losses-{turn}", finish)
         trials = cut_lineage(finished if trials is None else trials.unionByName(finished))
         if table is not None:
             trials.write.mode("overwrite").saveAsTable(table)

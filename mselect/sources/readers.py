@@ -153,10 +153,24 @@ def read_monitor_logs(spark: SparkSession, root: str) -> DataFrame:
     return read_run_log(spark, root).select(worker_of("file").alias("worker"), "file", "pos", "value")
 
 
-def read_cached(spark: SparkSession, name: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """The saved table of that name; built and saved first when missing or forced."""
-    if force or not spark.catalog.tableExists(name):
+_CACHE_KEY = "mselect.cache.key"
+
+
+def read_cached(spark: SparkSession, name: str, build: Callable[[], DataFrame], force: bool = False,
+                key: str | None = None) -> DataFrame:
+    """The saved table of that name; built and saved first when missing or forced, or when it was saved under another ``key``.
+
+    ``runs.fingerprint`` makes a key of the inputs. The key is noted after the rows are written, so a build that was stopped is
+    done again.
+    """
+    there = spark.catalog.tableExists(name)
+    if there and key is not None:
+        noted = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+        there = noted.get(_CACHE_KEY) == key
+    if force or not there:
         build().write.mode("overwrite").saveAsTable(name)
+        if key is not None:
+            spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{_CACHE_KEY}' = '{key}')")
     return spark.read.table(name)
 
 

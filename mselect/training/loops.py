@@ -28,6 +28,7 @@ from mselect.operators.merging import merged_vectors
 from mselect.operators.packing import _buffer_starts, class_table, pack
 from mselect.operators.ranking import split_rows
 from mselect.session import cut_lineage, ensure_checkpoint_dir, kept, ship_package
+from mselect.sources.runs import Steps
 from mselect.training import learner
 
 STATE = "model_key BIGINT, learning_rate DOUBLE, lambda_value DOUBLE, batch_size INT, layers ARRAY<INT>, w ARRAY<FLOAT>"
@@ -301,15 +302,24 @@ def _hop(packed: DataFrame, states: DataFrame, epochs: int, optimizer: str,
 
 
 def fit_model_hopper(packed: DataFrame, states: DataFrame, epochs: int, valid: DataFrame | None = None,
-                     optimizer: str = "adam") -> tuple[DataFrame, DataFrame]:
+                     optimizer: str = "adam", steps: Steps | None = None) -> tuple[DataFrame, DataFrame]:
     """Every model trains on every key once per epoch, one key after the other; a key has one model at a time.
 
-    Returns the states and (epoch, model_key, loss, metric, n) after each epoch.
+    Returns the states and (epoch, model_key, loss, metric, n) after each epoch. With ``steps`` the states and the scores of each epoch are
+    kept there, and a run that was stopped goes on after its last finished step; its key must stand for the data, the
+    first states and the optimizer (``runs.fingerprint``). More epochs under the same key train on from the last.
     """
-    history = []
+    history, checked = [], packed if valid is None else valid
     for epoch in range(1, epochs + 1):
-        states, _ = _hop(packed, states, 1, optimizer, None, False)
-        history.append(evaluate(packed if valid is None else valid, states).withColumn("epoch", F.lit(epoch)))
+        def train(before=states):
+            return _hop(packed, before, 1, optimizer, None, False)[0]
+
+        states = train() if steps is None else steps.run(f"states-{epoch}", train)
+
+        def score(now=states, epoch=epoch):
+            return evaluate(checked, now).withColumn("epoch", F.lit(epoch))
+
+        history.append(score() if steps is None else steps.run(f"scores-{epoch}", score))
     return states, cut_lineage(reduce(DataFrame.unionByName, history))
 
 
