@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mselect.llm.common import arrow_map
+from mselect.llm.tokens import encoder
 
 _TURN = re.compile(r"<turn ((?:[^\\>]|\\.)*)>\n((?:[^\\<]|\\.)*)\n</turn>\n", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -41,6 +42,16 @@ def words(text: str) -> int:
     return len(text.split()) + 4
 
 
+def written(role: str, text: str) -> str:
+    """A turn as it stands in a window."""
+    return f"<turn {escape(role, True)}>\n{escape(text)}\n</turn>\n"
+
+
+def token_costs(turns: list[tuple[str, str]], path: str) -> list[int]:
+    """The tokens of each written turn, marks included, by a tokenizer file."""
+    return [len(ids) // 4 for ids in encoder(path).ids([written(role, text) for role, text in turns])]
+
+
 class Window(NamedTuple):
     text: str
     repeated: int  # turns at the beginning that an earlier window has too
@@ -64,9 +75,9 @@ def spans(costs: list[int], system: bool, budget: int, history: int) -> list[tup
 
 
 def windows(turns: list[tuple[str, str]], budget: int = 512, history: int = 128, learned: tuple[str, ...] = ("assistant",),
-            count: Callable[[str], int] = words) -> list[Window]:
-    """The windows of one conversation of (role, text) turns."""
-    costs = [count(text) for _, text in turns]
+            count: Callable[[str], int] = words, costs: list[int] | None = None) -> list[Window]:
+    """The windows of one conversation of (role, text) turns, whose costs are ``costs`` or those that ``count`` gives their texts."""
+    costs = [count(text) for _, text in turns] if costs is None else costs
     system = bool(turns) and turns[0][0] == "system"
     out = []
     for number, (first, fresh, end) in enumerate(spans(costs, system, budget, history)):
@@ -100,9 +111,11 @@ _WINDOWS = "array<struct<text: string, repeated: int, loss: array<struct<start:
 
 
 def format_chats(rows: DataFrame, budget: int = 512, history: int = 128, learned: tuple[str, ...] = ("assistant",),
-                 count: Callable[[str], int] = words) -> DataFrame:
+                 count: Callable[[str], int] = words, path: str | None = None) -> DataFrame:
     """(conv_id, windows) of every conversation; ``rows`` has conv_id, turn, role, text.
 
+    The budgets are tokens of the written turns by the tokenizer file ``path`` if there is one, else what ``count`` gives for texts.
+
     Turns go by turn, then role and text; repeated rows are repeated turns. A null text or role is empty, a null turn comes first, and rows with
     a null conv_id are one conversation. Other columns aren't read. A conversation is one cell: its windows follow from each
     other.
@@ -114,7 +127,8 @@ def format_chats(rows: DataFrame, budget: int = 512, history: int = 128, learned
     def run(batch: pa.RecordBatch) -> dict:
         out = []
         for turns in batch.column(1).to_pylist():
-            made = windows([(t["role"], t["text"]) for t in turns], budget, history, learned, count)
+            said = [(t["role"], t["text"]) for t in turns]
+            made = windows(said, budget, history, learned, count, token_costs(said, path) if path else None)
             out.append([{**w._asdict(), "loss": [{"start": a, "end": b} for a, b in w.loss]} for w in made])
         loss = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         cell = pa.list_(pa.struct([("text", pa.string()), ("repeated", pa.int32()), ("loss", loss), ("tokens", pa.int32())]))

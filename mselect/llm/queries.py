@@ -75,11 +75,11 @@ FROM p JOIN f USING (payload_digest)"""
 
 @query
 def op9_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Every conversation formatted in windows, read back from the formatted text."""
+    """Every conversation formatted in windows of 512 tokens, read back from the formatted text."""
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return chat.digests(chat.format_chats(rows.unionByName(more)))
+    return chat.digests(chat.format_chats(rows.unionByName(more), path=vocabulary()))
 
 
 @query

@@ -62,3 +62,53 @@ def test_table(spark):
         assert r.turns_sha256 == sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
         assert r.formatted_chars == sum(len(w.text) for w in windows(own, 30, 10))
     assert digests(format_chats(df.limit(0))).collect() == []
+
+
+def slow_chars(turns, costs, budget, history):
+    """Code points of all windows, by steps of one turn and by counting what is escaped."""
+    def size(i):
+        role, text = turns[i]
+        return len(role) + sum(role.count(c) for c in "\\<>") + len(text) + sum(text.count(c) for c in "\\<") + len("<turn >\n\n</turn>\n")
+
+    system = int(bool(turns) and turns[0][0] == "system")
+    head, fresh, total = sum(costs[:system]), system, 0
+    if fresh == len(turns):
+        return sum(map(size, range(system)))
+    while fresh < len(turns):
+        first = fresh
+        while first > system and sum(costs[first - 1: fresh]) <= history and head + sum(costs[first - 1: fresh + 1]) <= budget:
+            first -= 1
+        end = fresh + 1
+        while end < len(turns) and head + sum(costs[first: end + 1]) <= budget:
+            end += 1
+        total += sum(map(size, [*range(system), *range(first, end)]))
+        fresh = end
+    return total
+
+
+def test_budget_in_tokens(spark):
+    """Windows of tokens as the library counts them, against a version that adds turn by turn; one turn is over the budget."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from mselect.llm.chat import written
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(3)
+    talks = {i: talk(rng) for i in range(60)}
+    talks[60] = [("system", "s"), ("user", "word " * 3000), ("assistant", "yes")]
+    talks[61] = [("assistant", "日本 " * 40), ("user", "a"), ("assistant", "b" * 900), ("user", "")]
+    df = spark.createDataFrame([(i, n, r, t) for i, own in talks.items() for n, (r, t) in enumerate(own)],
+                               "conv_id long, turn long, role string, text string")
+    formatted = format_chats(df, 96, 24, path=path).cache()
+    got = {r.conv_id: r for r in digests(formatted).collect()}
+    made = {r.conv_id: r.windows for r in formatted.collect()}
+    talks = {i: own for i, own in talks.items() if own}
+    assert got.keys() == talks.keys() and any(len(w) > 2 for w in made.values())
+    for i, own in talks.items():
+        costs = [len(library.encode(written(r, t), add_special_tokens=False).ids) for r, t in own]
+        assert got[i].formatted_chars == slow_chars(own, costs, 96, 24)
+        for w in made[i]:
+            # the marks keep turns apart, so the window as a whole has as many tokens
+            assert w.tokens == len(library.encode(w.text, add_special_tokens=False).ids)
+            assert w.tokens <= 96 or len(parse(w.text)) - w.repeated == 1 or len(own) <= 3
