@@ -70,7 +70,8 @@ def sets_by_node(docs: DataFrame, chosen: DataFrame, key: str, text: str, shingl
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[first]), pa.array(hashes[first]),
                                                   pa.array([sets[i].tobytes() for i in first], pa.binary())], ["node", "h", "shingles"])
     rows = docs.select(F.xxhash64(key).alias("h"), F.col(text).alias("_text"))
-    found = rows.mapInArrow(run, "node long, h long, shingles binary").join(chosen, ["node", "h"], "left_semi")
+    # joined on the node alone, so that the sets are dealt once for the join and the groups
+    found = rows.mapInArrow(run, "node long, h long, shingles binary").join(chosen.withColumnRenamed("h", "_h"), "node").where("(h ^ _h) = 0")
     return written(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
@@ -127,16 +128,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: Callable[[np.ndarray,
 
 
 def settle(keys: DataFrame, sketches: DataFrame, possible: Callable[[str, str], Column], sets: Callable[[DataFrame], DataFrame],
-           similar: Callable[[np.ndarray, np.ndarray], bool], first: Callable[[str, str], Column] | None = None) -> DataFrame:
-    """(node, root): every node that shares a key, with the smallest node that links lead to.
+           similar: Callable[[np.ndarray, np.ndarray], bool], first: Callable[[str, str], Column] | None = None,
+           before: DataFrame | None = None) -> DataFrame:
+    """(node, root): every node that shares a key or is in a pair of ``before``, with the smallest node that links lead to.
 
-    keys: (node, key) longs. sketches: (node, ...) of all nodes. possible(p, q): whether the sketches of two nodes, whose columns have the
+    keys: (node, key) longs. before: (a, b), different nodes that are compared before all others. sketches: (node, ...) of all nodes. possible(p, q): whether the sketches of two nodes, whose columns have the
     prefixes p and q, leave room for a link. sets(nodes): (node, shingles) of ``nodes``. similar(x, y): the verdict on two sets. first(p, q):
     whether ``key`` is the first that two nodes share, so that they are compared under it alone.
     """
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
     entries = written(keys.join(hubs, "key").select("key", "node", "hub"), "entries")
-    nodes = written(entries.select("node").distinct(), "nodes")
+    met = entries.select("node")
+    if before is not None:
+        before = written(before, "before")
+        met = met.unionByName(before.select(F.col("a").alias("node"))).unionByName(before.select(F.col("b").alias("node")))
+    nodes = written(met.distinct(), "nodes")
     held, own = sets(nodes), written(sketches.join(nodes, "node", "left_semi"), "sketches")
 
     def with_sketches(pairs: DataFrame) -> DataFrame:
@@ -158,7 +164,10 @@ def settle(keys: DataFrame, sketches: DataFrame, possible: Callable[[str, str],
         return pairs.where("a_comp <> b_comp").select("a", "b")
 
     labels = nodes.withColumn("comp", F.col("node"))
+    if before is not None:
+        labels = merged(with_sketches(before).where(possible("a_", "b_")).select("a", "b"), labels)
     nearest = entries.groupBy("node").agg(F.min("hub").alias("a")).where("a <> node").select("a", F.col("node").alias("b"))
+    nearest = nearest if before is None else apart(nearest, labels)
     labels = merged(with_sketches(nearest).where(possible("a_", "b_")).select("a", "b"), labels)
     stars = entries.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     labels = merged(with_sketches(apart(stars, labels)).where(possible("a_", "b_")).select("a", "b"), labels)
