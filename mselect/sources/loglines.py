@@ -22,7 +22,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "file string, offset bigint, value string"
 RANGE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
+PAST_BYTES = 4096
 BATCH_BYTES = 4 << 20
+TASK_BYTES = 4 << 20  # a task takes so many bytes of ranges that follow each other, or one range
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -31,11 +33,12 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class ByteRange(InputPartition):
-    """Bytes ``begin`` to ``end`` (not included) of a file."""
+    """Bytes ``begin`` to ``end`` (not included) of a file, read in ranges of ``size`` bytes; 0: as one."""
 
     file: str
     begin: int
     end: int
+    size: int = 0
 
 
 def list_files(root: str) -> dict[str, int]:
@@ -55,6 +58,11 @@ def cut(file: str, begin: int, end: int, size: int) -> list[ByteRange]:
     return [ByteRange(file, at, min(at + size, end)) for at in range(begin, end, size)]
 
 
+def tasks(file: str, begin: int, end: int, size: int) -> list[ByteRange]:
+    """The ranges of ``cut``, a task's worth in each part, so that small ranges don't make a task each."""
+    return [ByteRange(file, r.begin, r.end, size) for r in cut(file, begin, end, size * max(1, TASK_BYTES // size))]
+
+
 def lines_of(stream, begin: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, line without its line feed) of the lines that begin in the range; ``stream`` can seek and read."""
     at = begin
@@ -74,7 +82,8 @@ def lines_of(stream, begin: int, end: int) -> Iterator[tuple[int, bytes]]:
     stream.seek(at)
     pieces: list[bytes] = []
     while at < end:
-        block = stream.read(READ_BYTES)
+        # a little past the end, where the last line is likely to end
+        block = stream.read(min(READ_BYTES, max(end - at, 0) + PAST_BYTES))
         if not block:
             if pieces:
                 yield at, b"".join(pieces)
@@ -101,13 +110,14 @@ def _batches(system: fs.FileSystem, path: str, part: ByteRange) -> Iterator[pa.R
 
     offsets, values, held = [], [], 0
     with system.open_input_file(path) as stream:
-        for at, line in lines_of(stream, part.begin, part.end):
-            offsets.append(at)
-            values.append(line.decode("utf-8", "replace"))
-            held += len(line) + len(part.file) + 8
-            if held >= BATCH_BYTES:
-                yield batch(offsets, values)
-                offsets, values, held = [], [], 0
+        for own in cut(part.file, part.begin, part.end, part.size or part.end - part.begin):
+            for at, line in lines_of(stream, own.begin, own.end):
+                offsets.append(at)
+                values.append(line.decode("utf-8", "replace"))
+                held += len(line) + len(part.file) + 8
+                if held >= BATCH_BYTES:
+                    yield batch(offsets, values)
+                    offsets, values, held = [], [], 0
     if offsets:
         yield batch(offsets, values)
 
@@ -127,7 +137,7 @@ class _Reads:
 
 class _TableReader(_Reads, DataSourceReader):
     def partitions(self) -> list[ByteRange]:
-        return [r for file, size in sorted(list_files(self.root).items()) for r in cut(file, 0, size, self.size)] or [NOTHING]
+        return [r for file, size in sorted(list_files(self.root).items()) for r in tasks(file, 0, size, self.size)] or [NOTHING]
 
 
 class _StreamReader(_Reads, DataSourceStreamReader):
@@ -154,7 +164,7 @@ class _StreamReader(_Reads, DataSourceStreamReader):
         return 0
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
-        return [r for file, to in end.items() for r in cut(file, start.get(file, 0), to, self.size)] or [NOTHING]
+        return [r for file, to in end.items() for r in tasks(file, start.get(file, 0), to, self.size)] or [NOTHING]
 
     def commit(self, end: dict) -> None:
         pass

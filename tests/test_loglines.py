@@ -74,3 +74,21 @@ def test_stream_reads_appended_lines_once(spark, tmp_path):
         f.write(b"f\n\nend")
     (logs / "c").write_bytes(b"new\n")
     assert go() == sorted([(0, "1"), (2, "2"), (4, "half"), (9, ""), (0, "new")], key=repr)
+
+
+def test_small_ranges_share_tasks_and_read_little_more_than_their_bytes(tmp_path):
+    class Counted(io.BytesIO):
+        total = 0
+
+        def read(self, n=-1):
+            block = super().read(n)
+            Counted.total += len(block)
+            return block
+
+    data = b"".join(b"%d line\n" % i for i in range(400_000))
+    (tmp_path / "a").write_bytes(data)
+    parts = loglines._TableReader({"path": str(tmp_path), "rangeBytes": "4096"}).partitions()
+    assert [(p.begin, p.end, p.size) for p in parts] == [(0, 4 << 20, 4096), (4 << 20, len(data), 4096)]
+    assert [p.end - p.begin for p in loglines.tasks("f", 0, 300 << 20, 64 << 20)] == [64 << 20] * 4 + [44 << 20]
+    got = [x for r in loglines.cut("a", 0, len(data), 4096) for x in loglines.lines_of(Counted(data), r.begin, r.end)]
+    assert got == serial(data) and Counted.total < 4 * len(data)
