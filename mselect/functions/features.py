@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,6 +96,17 @@ def murmur3_all(texts: pd.Series) -> pd.Series:
     return pd.Series([filled[a:b] for a, b in zip(ends[:-1], ends[1:])])
 
 
+def md5_all(buckets: int) -> Callable[[Column], Column]:
+    """``hash_bucket`` by ``md5`` over every element of an array column, each different text of a batch hashed once; null for null."""
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def run(texts: pa.Array) -> pa.Array:
+        ends = np.concatenate(([0], np.cumsum(texts.value_lengths().to_numpy(zero_copy_only=False))))
+        coded = texts.flatten().dictionary_encode()
+        hashed = [int.from_bytes(md5(t.encode("utf-8")).digest()[:4], "big") % buckets for t in coded.dictionary.to_pylist()]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashed, pa.int32()).take(coded.indices))
+    return run
+
+
 def _absent(c: Column) -> Column:
     return c.isNull() | c.isin("", "0")
 
@@ -123,9 +136,10 @@ def encode_row(df: DataFrame, label: str, numeric: Sequence[str], categorical: S
     """Click row to (label, idx, val): sorted positions of the set features, each with value 1.0."""
     width = len(numeric) * buckets
     places = [bucketize(c, buckets) + f * buckets for f, c in enumerate(numeric)]
-    if algo == "murmur3":
-        texts = [F.col(c).cast("string") for c in categorical]
-        df = df.withColumn("_h", murmur3_all(F.array(*[F.when(~_absent(t), t) for t in texts])))
+    if algo in ("murmur3", "md5") and categorical:
+        # one call for all features: as an expression a feature, the row's code gets too long to be compiled well
+        texts = F.array(*[F.when(~_absent(t), t) for t in (F.col(c).cast("string") for c in categorical)])
+        df = df.withColumn("_h", murmur3_all(texts) if algo == "murmur3" else md5_all(hashes)(texts))
         hashed = [F.pmod(F.col("_h")[f], F.lit(hashes)) for f in range(len(categorical))]
     else:
         hashed = [hash_bucket(c, hashes, algo) for c in categorical]

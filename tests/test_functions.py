@@ -120,3 +120,15 @@ def test_lines_of_one_worker_by_whole_number(spark):
     lines = spark.createDataFrame([("a WORKER: 1, x",), ("WORKER: 10",), ("(seg1 host)",), ("(seg10 host)",), ("",)], "value string")
     assert rows(logs.lines_of_worker(lines, 1, "unix")) == [("a WORKER: 1, x",)]
     assert rows(logs.lines_of_worker(lines, 10, "db")) == [("(seg10 host)",)]
+
+
+def test_encode_row_hashes_all_texts_in_one_call(spark):
+    values = [("a", "0", None), ("", "ä", "x"), (None, None, None), ("0", "b" * 90, "a")]
+    df = spark.createDataFrame([(i, 3, *v) for i, v in enumerate(values)], "y int, n int, a string, b string, c string")
+    for hashes in (256, 100):
+        out = features.encode_row(df, "y", ["n"], ["a", "b", "c"], "md5", hashes=hashes)
+        single = df.select("y", *[features.hash_bucket(c, hashes, "md5").alias(c) for c in "abc"]).collect()
+        want = {r.y: [50 + f * hashes + r[c] for f, c in enumerate("abc") if r[c] is not None] for r in single}
+        assert {r.label: r.idx[1:] for r in out.collect()} == want
+        assert "md5(" not in out._jdf.queryExecution().executedPlan().toString()
+    assert features.encode_row(df, "y", ["n"], [], "md5").count() == 4 and features.encode_row(df.limit(0), "y", ["n"], ["a"], "md5").collect() == []
