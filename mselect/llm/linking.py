@@ -15,6 +15,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mselect.llm import words
@@ -136,8 +137,10 @@ def settle(keys: DataFrame, sketches: DataFrame, possible: Callable[[str, str],
     prefixes p and q, leave room for a link. sets(nodes): (node, shingles) of ``nodes``. similar(x, y): the verdict on two sets. first(p, q):
     whether ``key`` is the first that two nodes share, so that they are compared under it alone.
     """
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
-    entries = written(keys.join(hubs, "key").select("key", "node", "hub"), "entries")
+    # keys are dealt once, for their smallest and largest node and for the entries themselves
+    group = Window.partitionBy("key")
+    hubs = keys.select("key", "node", F.min("node").over(group).alias("hub"), F.max("node").over(group).alias("last"))
+    entries = written(hubs.where("hub <> last").drop("last"), "entries")
     met = entries.select("node")
     if before is not None:
         before = written(before, "before")
