@@ -31,6 +31,7 @@ SLICE_BYTES = 2_000_000  # text that is worked on at once; bounds a task's memor
 SCORE_BYTES = 500_000  # text that is scored at once
 MERGE_BYTES = 8_000_000  # text whose counts a task merges before it hands them on
 RUN, WORD = 0, 1  # kinds of keys
+_TRAIN = (1 << 32) - 1  # counts of a task: those in training in the low half of a long, others in the high half
 _U = np.uint64
 
 
@@ -137,29 +138,35 @@ def text_runs(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.nda
     return runs[is_text], np.concatenate(([0], np.cumsum(lengths + 1)))
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, every, train = map(np.concatenate, zip(*parts))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(every[order], first), np.add.reduceat(train[order], first)
+def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys with the sums of their counts. The lists are emptied, so that no part is held twice."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    keys.clear()
+    counts.clear()
+    order = np.argsort(key, kind="stable")
+    n = n[order]
+    key = key[order]
+    del order
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(n, first)
 
 
 def key_counts(docs: DataFrame, depth: int, text: str, train: str) -> DataFrame:
     """(kind, key, n_all, n_train) of all runs and words. ``train`` is a boolean column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, size = words.Powers(), {RUN: [], WORD: []}, 0
+        powers, held, size = words.Powers(SLICE_BYTES), {RUN: ([], []), WORD: ([], [])}, 0
 
         def flush():
             for kind, parts in held.items():
-                if parts and sum(len(p[0]) for p in parts):
-                    keys, every, own = _merge(parts)
+                if sum(map(len, parts[0])):
+                    keys, counts = _merge(*parts)
                     for i in range(0, len(keys), 100_000):
-                        k = keys[i: i + 100_000].view(np.int64)
+                        k, n = keys[i: i + 100_000].view(np.int64), counts[i: i + 100_000]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(every[i: i + 100_000]), pa.array(own[i: i + 100_000])],
+                            [pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array((n & _TRAIN) + (n >> 32)), pa.array(n & _TRAIN)],
                             ["kind", "key", "n_all", "n_train"])
-                parts.clear()
+                for part in parts:
+                    part.clear()
 
         for batch in batches:
             for row, data, offsets in words.slices(batch.column(0), SLICE_BYTES):
@@ -169,9 +176,11 @@ def key_counts(docs: DataFrame, depth: int, text: str, train: str) -> DataFrame:
                 hashes = words.word_hashes(data, starts, ends, powers)
                 for kind, keys, first in ((RUN, runs, run_first), (WORD, hashes, word_first)):
                     mask = np.repeat(trained, np.diff(first))
-                    for chosen, is_train in ((keys[mask], 1), (keys[~mask], 0)):
+                    for chosen, place in ((keys[mask], 0), (keys[~mask], 32)):
                         unique, n = np.unique(chosen, return_counts=True)
-                        held[kind].append((unique, n, n * is_train))
+                        held[kind][0].append(unique)
+                        held[kind][1].append(n << place)
+                del runs, hashes, starts, ends, keys, mask, chosen, unique, n
                 size += len(data)
                 if size >= MERGE_BYTES:
                     yield from flush()
@@ -289,7 +298,7 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", de
     frequent = docs.sparkSession.sparkContext.broadcast({k: HotTable(*hot_rows(model.where(F.col("kind") == k), hot)) for k in (RUN, WORD)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, number = words.Powers(), TaskContext.get().partitionId() << 40
+        powers, number = words.Powers(SCORE_BYTES), TaskContext.get().partitionId() << 40
         table = frequent.value
         for batch in batches:
             for row, data, offsets in words.slices(batch.column(2), SCORE_BYTES):

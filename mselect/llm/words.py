@@ -62,14 +62,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the hash's base and of its inverse, kept between slices."""
+    """Powers of the hash's base and of its inverse, kept between slices of ``size`` bytes, or what the longest text has."""
 
-    def __init__(self):
+    def __init__(self, size: int = SLICE_BYTES):
+        self.size = size
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, SLICE_BYTES + 1)
+            n = max(n, self.size + 1)
             self.up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _BASE))), dtype=np.uint64)
             self.down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _BASE_INVERSE))), dtype=np.uint64)
 

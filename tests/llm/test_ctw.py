@@ -113,3 +113,19 @@ def test_nothing_to_learn_from_and_empty_table(spark):
     r = ctw.score(df, F.lit(True)).first()
     assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) and r.score == pytest.approx(24 * math.log10(0.5))
     assert ctw.score(df.limit(0), F.lit(False)).collect() == []
+
+
+def test_merging_counts_holds_no_part_twice():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    keys = [np.unique(rng.integers(0, 1 << 40, 400_000, np.uint64)) for _ in range(4)]
+    counts = [np.full(len(k), 1 if i % 2 else 1 << 32) for i, k in enumerate(keys)]
+    every = np.concatenate(keys)
+    size = 16 * len(every)
+    tracemalloc.start()
+    key, n = ctw._merge(keys, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert keys == counts == [] and peak < 3 * size
+    assert np.array_equal(key, np.unique(every)) and (n & ctw._TRAIN).sum() + (n >> 32).sum() == len(every)
