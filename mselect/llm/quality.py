@@ -26,7 +26,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def words(text: str) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; none for a null."""
-    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), "")
 
 
 def repeated_words(hashes: Column, width: int = 8) -> Column:
@@ -65,12 +65,18 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
             }).drop("_words"))
 
 
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def pairs(hashes: Column) -> Column:
+    """The buckets of all pairs of neighbours."""
+    return F.transform(hashes, lambda h, i: _bucket(F.xxhash64(h, F.get(hashes, i + 1))))
+
+
 def grams(hashes: Column) -> Column:
     """The buckets of all words, then of all pairs of neighbours."""
-    last = F.lit(BUCKETS - 1)
-    ones = F.transform(hashes, lambda h: h.bitwiseAND(last).cast("int"))
-    twos = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1)).bitwiseAND(last).cast("int"))
-    return F.concat(ones, twos)
+    return F.concat(F.transform(hashes, _bucket), pairs(hashes))
 
 
 #: Bits of the table that tells which rows may be trusted, whatever their number; false hits cost a few bytes a word, nothing else.
@@ -127,8 +133,9 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float, key: str = "doc
         table[r["bucket"]] = r["ratio"]
     constant = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")
     rows = counted(docs, text)
-    scores = F.transform(let(F.col("_hashes"), grams), lambda b: F.get(constant, b))
-    score = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s) / F.nullif(2 * F.size("_hashes"), F.lit(0))
+    # words, then pairs, added without arrays of their scores
+    ones = F.aggregate("_hashes", F.lit(0.0), lambda a, h: a + F.get(constant, _bucket(h)))
+    score = F.aggregate(pairs(F.col("_hashes")), ones, lambda a, b: a + F.get(constant, b)) / F.nullif(2 * F.size("_hashes"), F.lit(0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (rows.withColumn("score", score).drop("_hashes").withColumn("base_failed", failed)
             .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))))
