@@ -86,3 +86,10 @@ def test_runs_without_python_functions(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     plan = quality.counted(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_filter_on_the_verdict_takes_a_text_apart_once(spark):
+    docs = spark.createDataFrame([(1, " ".join(WORDS)), (2, "short")], "doc_id long, text string")
+    kept = judge(docs, docs.select("doc_id"), -1.0).where("kept").select("doc_id", "text")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r.doc_id for r in kept.collect()] == [1]
