@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from mselect.llm import words
 from mselect.llm.common import written
 
-HOT = 1 << 20  # most entries of the table of frequent keys
+HOT = 1 << 21  # most entries of the table of frequent keys
 TASK_RUNS = 400_000  # runs that a task weights at once, about
 SLICE_BYTES = 2_000_000  # text that is worked on at once; bounds a task's memory
 SCORE_BYTES = 500_000  # text that is scored at once
-MERGE_BYTES = 8_000_000  # text whose counts a task merges before it hands them on
+MERGE_BYTES = 24_000_000  # text whose counts a task merges before it hands them on
 RUN, WORD = 0, 1  # kinds of keys
 _TRAIN = (1 << 32) - 1  # counts of a task: those in training in the low half of a long, others in the high half
 _U = np.uint64
@@ -37,11 +37,12 @@ _U = np.uint64
 
 def lgamma(x: np.ndarray) -> np.ndarray:
     """The logarithm of the gamma function for positive numbers, by Stirling's series eight places up."""
-    shift = np.log(x)
-    for i in range(1, 8):
-        shift = shift + np.log(x + i)
+    shift = x * (x + 1)
+    for i in range(2, 8):
+        shift = shift * (x + i)
     z = x + 8
-    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z ** 3) + 1 / (1260 * z ** 5) - 1 / (1680 * z ** 7) - shift
+    y = 1 / (z * z)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / z - np.log(shift)
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -151,20 +152,37 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[first], np.add.reduceat(n, first)
 
 
+def _merge_runs(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different runs, and their counts as ``_merge`` has them, of runs with a last bit that is set outside training. The list is emptied."""
+    key, n = np.empty(sum(map(len, held)), np.uint64), 0
+    while held:  # each part is freed as it is copied
+        part = held.pop()
+        key[n: n + len(part)] = part
+        n += len(part)
+        del part
+    key.sort()
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    n = np.diff(first, append=len(key))
+    key = key[first]
+    n <<= (key & _U(1)).astype(np.int64) << 5
+    key >>= _U(1)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(n, first)
+
+
 def key_counts(docs: DataFrame, depth: int, text: str, train: str) -> DataFrame:
     """(kind, key, n_all, n_train) of all runs and words. ``train`` is a boolean column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, held, size = words.Powers(SLICE_BYTES), {RUN: ([], []), WORD: ([], [])}, 0
+        whole = depth < 7  # runs leave a bit free, so they are sorted once, by themselves
 
         def flush():
             for kind, parts in held.items():
                 if sum(map(len, parts[0])):
-                    keys, counts = _merge(*parts)
+                    keys, counts = _merge_runs(parts[0]) if whole and kind == RUN else _merge(*parts)
                     for i in range(0, len(keys), 100_000):
                         k, n = keys[i: i + 100_000].view(np.int64), counts[i: i + 100_000]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array((n & _TRAIN) + (n >> 32)), pa.array(n & _TRAIN)],
-                            ["kind", "key", "n_all", "n_train"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n)], ["kind", "key", "n"])
                 for part in parts:
                     part.clear()
 
@@ -176,6 +194,9 @@ def key_counts(docs: DataFrame, depth: int, text: str, train: str) -> DataFrame:
                 hashes = words.word_hashes(data, starts, ends, powers)
                 for kind, keys, first in ((RUN, runs, run_first), (WORD, hashes, word_first)):
                     mask = np.repeat(trained, np.diff(first))
+                    if whole and kind == RUN:
+                        held[kind][0].append(keys << _U(1) | ~mask)
+                        continue
                     for chosen, place in ((keys[mask], 0), (keys[~mask], 32)):
                         unique, n = np.unique(chosen, return_counts=True)
                         held[kind][0].append(unique)
@@ -186,14 +207,16 @@ def key_counts(docs: DataFrame, depth: int, text: str, train: str) -> DataFrame:
                     yield from flush()
                     size = 0
         yield from flush()
-    parts = docs.select(text, train).mapInArrow(run, "kind byte, key long, n_all long, n_train long")
-    return parts.groupBy("kind", "key").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train"))
+    parts = docs.select(text, train).mapInArrow(run, "kind byte, key long, n long")
+    # dealt first: within a task nearly all keys are different, so counts are added where they meet
+    return parts.repartition("key").groupBy("kind", "key").agg(
+        F.sum(F.col("n").bitwiseAND(_TRAIN) + F.shiftright("n", 32)).alias("n_all"), F.sum(F.col("n").bitwiseAND(_TRAIN)).alias("n_train"))
 
 
-def _partition(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+def _partition(batches: Iterator[pa.RecordBatch], columns: int) -> tuple[np.ndarray, ...]:
     """All rows of a partition, of which the number is set beforehand, as arrays."""
-    columns = list(zip(*([c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows)))
-    return tuple(np.concatenate(c) for c in columns) or (np.zeros(0, np.int64),) * 3
+    parts = list(zip(*([c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows)))
+    return tuple(np.concatenate(c) for c in parts) or (np.zeros(0, np.int64),) * columns
 
 
 def run_probabilities(counts: DataFrame, depth: int) -> DataFrame:
@@ -201,10 +224,12 @@ def run_probabilities(counts: DataFrame, depth: int) -> DataFrame:
     runs = counts.where(F.col("kind") == RUN)
     tasks = max(1, runs.count() // TASK_RUNS)
     near = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))  # the two bytes before: their subtree is in one task
-    dealt = runs.select("key", "n_train", "n_all").repartition(tasks, near)
+
+    def dealt(*columns: str) -> DataFrame:
+        return runs.select("key", *columns).repartition(tasks, near)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, train, _ = _partition(batches)
+        keys, train = _partition(batches, 2)
         for k, own, zeros, ones, log_w, *_ in weigh(keys.view(np.uint64), train.astype(float), depth, 2):
             if not len(own):
                 continue
@@ -214,53 +239,69 @@ def run_probabilities(counts: DataFrame, depth: int) -> DataFrame:
                 [pa.array((parent >> _U(k)).astype(np.int32)), pa.array((parent & _U((1 << k) - 1)).astype(np.int32) | 1 << k), *map(pa.array, total)],
                 ["byte", "node", "zeros", "ones", "log_w"])
     schema = "byte int, node int, zeros double, ones double, log_w double"
-    upper = dealt.mapInArrow(sums, schema).groupBy("byte", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("log_w"))
+    upper = dealt("n_train").mapInArrow(sums, schema).groupBy("byte", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("log_w"))
     top = counts.sparkSession.sparkContext.broadcast(Top(map(tuple, upper.collect())))  # at most 256 x 255 rows
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, train, every = _partition(batches)
+        keys, train, every = _partition(batches, 3)
         if len(keys):
             value = log10_probabilities(keys.view(np.uint64), train.astype(float), depth, top.value)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(value), pa.array(every)], ["key", "value", "n_all"])
-    return dealt.mapInArrow(values, "key long, value double, n_all long")
+    return dealt("n_train", "n_all").mapInArrow(values, "key long, value double, n_all long")
 
 
 class HotTable:
-    """Values of 64-bit keys. An open table of 32-bit places points into keys and values, which stay as they are; a key not in it has no value."""
+    """Values of 64-bit keys. An open table has key and value side by side, so a look-up reads one place; keys that are given first are
+    found soonest. An empty place has no number as its value; a key not in the table has no value. It is made when it is first used, so
+    only keys and values are sent."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys, values
+        self.given, self.rows = (keys, values), None
+
+    def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.bits = max(4, (2 * len(keys) - 1).bit_length())
-        self.places = np.full(1 << self.bits, -1, np.int32)
+        places = np.full(1 << self.bits, -1, np.int32)
         left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
         while len(left):
-            free = left[self.places[slot[left]] < 0]
+            free = left[places[slot[left]] < 0]
             _, first = np.unique(slot[free], return_index=True)
             put = free[first]
-            self.places[slot[put]] = put
-            left = left[self.places[slot[left]] != left]
+            places[slot[put]] = put
+            left = left[places[slot[left]] != left]
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        self.rows = np.zeros(len(places), [("key", np.uint64), ("value", np.float64)])
+        self.rows["value"] = np.nan
+        used = np.flatnonzero(places >= 0)
+        self.rows["key"][used], self.rows["value"][used] = keys[places[used]], values[places[used]]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int32)
+        return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).view(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values, or 0; places of the keys that have none)."""
-        out, absent = np.zeros(len(keys)), np.ones(len(keys), bool)
-        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        def look(slot, keys):
+            rows = self.rows.take(slot)
+            used, same = ~np.isnan(rows["value"]), rows["key"] == keys
+            return rows["value"], used & same, used & ~same  # an empty place ends the search
+
+        if self.rows is None:
+            self._build(*self.given)
+            self.given = None
+        slot = self._slot(keys)
+        value, found, on = look(slot, keys)
+        out, left = np.where(found, value, 0.0), np.flatnonzero(on)
+        slot = slot[left]
         while len(left):
-            place = self.places[slot]
-            inside = place >= 0  # an empty place ends the search
-            left, slot, place = left[inside], slot[inside], place[inside]
-            hit = self.keys[place] == keys[left]
-            out[left[hit]] = self.values[place[hit]]
-            absent[left[hit]] = False
-            left, slot = left[~hit], (slot[~hit] + 1) & ((1 << self.bits) - 1)
-        return out, np.flatnonzero(absent)
-
-
-def hot_rows(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and values of the most frequent keys: all above a count that at most ``most`` keys exceed."""
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            value, hit, on = look(slot, keys[left])
+            out[left[hit]] = value[hit]
+            found[left[hit]] = True
+            left, slot = left[on], slot[on]
+        return out, np.flatnonzero(~found)
+
+
+def hot_rows(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """Keys and values of the most frequent keys, most frequent first, and their smallest count: all keys that have it or more are at most ``most``."""
     classes = sorted(model.groupBy(F.floor(F.log2("n_all") * 8).alias("c")).agg(F.count(F.lit(1)), F.min("n_all")).collect(), reverse=True)
     total, least = 0, None
     for _, n, smallest in classes:  # a row for each eighth of a doubling
@@ -269,9 +310,10 @@ def hot_rows(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
             break
         least = smallest
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    table = model.where(F.col("n_all") >= least).select("key", "value").toArrow()
-    return table["key"].to_numpy().view(np.uint64), table["value"].to_numpy()
+        return np.zeros(0, np.uint64), np.zeros(0), None
+    table = model.where(F.col("n_all") >= least).select("key", "value", "n_all").toArrow()
+    order = np.argsort(-table["n_all"].to_numpy(), kind="stable")
+    return table["key"].to_numpy().view(np.uint64)[order], table["value"].to_numpy()[order], least
 
 
 def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", depth: int = 6, hot: int = HOT) -> DataFrame:
@@ -294,8 +336,14 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", de
     runs = run_probabilities(counts, depth).withColumn("kind", F.lit(RUN).cast("byte"))
     own = counts.where(F.col("kind") == WORD).select("key", F.log10(F.col("n_train") + 1).alias("value"), "n_all", "kind")
     model = written(runs.unionByName(own), "model")
-    # at most ``hot`` keys a kind: 24 MB each, read in place by the workers
-    frequent = docs.sparkSession.sparkContext.broadcast({k: HotTable(*hot_rows(model.where(F.col("kind") == k), hot)) for k in (RUN, WORD)})
+    # at most ``hot`` keys a kind: 32 MB each; a worker makes its table once, of 64 MB
+    tables, rare = {}, {}
+    for k in (RUN, WORD):
+        of_kind = model.where(F.col("kind") == k)
+        keys, values, least = hot_rows(of_kind, hot)
+        tables[k], rare[k] = HotTable(keys, values), of_kind if least is None else of_kind.where(F.col("n_all") < least)
+    frequent = docs.sparkSession.sparkContext.broadcast(tables)
+    del tables, keys, values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, number = words.Powers(SCORE_BYTES), TaskContext.get().partitionId() << 40
@@ -321,9 +369,12 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", de
                 number += n
     parts = written(rows.mapInArrow(run, f"key {kind}, held boolean, row long, n_tokens long, known long, base double, score double, n_bytes long, "
                                     "word_left array<long>, run_left array<long>"), "parts")
-    left = parts.select("row", F.lit(WORD).cast("byte").alias("kind"), F.explode("word_left").alias("key")).unionByName(
-        parts.select("row", F.lit(RUN).cast("byte").alias("kind"), F.explode("run_left").alias("key")))
-    more = left.join(model, ["kind", "key"]).groupBy("row").agg(
+
+    def left(k: int, column: str) -> DataFrame:
+        # keys of the model are different and dealt by their hash, so a task's share is a small table, whatever the texts; nothing is sorted
+        values = rare[k].select("key", "value").hint("shuffle_hash")
+        return parts.select("row", F.explode(column).alias("key")).join(values, "key").select("row", F.lit(k).alias("kind"), "value")
+    more = left(WORD, "word_left").unionByName(left(RUN, "run_left")).groupBy("row").agg(
         F.sum(F.when(F.col("kind") == WORD, F.col("value"))).alias("more_base"), F.sum(F.when(F.col("kind") == RUN, F.col("value"))).alias("more_score"),
         F.sum(F.when((F.col("kind") == WORD) & (F.col("value") > 0), 1)).alias("more_known"))
     zero = F.lit(0)

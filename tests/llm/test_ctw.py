@@ -129,3 +129,49 @@ def test_merging_counts_holds_no_part_twice():
     tracemalloc.stop()
     assert keys == counts == [] and peak < 3 * size
     assert np.array_equal(key, np.unique(every)) and (n & ctw._TRAIN).sum() + (n >> 32).sum() == len(every)
+
+
+def test_counts_are_added_where_they_meet_and_looked_up_unsorted(spark):
+    df = spark.createDataFrame([(i, f"the cat sat {i}") for i in range(20)], "doc_id long, text string")
+    plan = ctw.key_counts(df.withColumn("train", F.lit(True)), 6, "text", "train")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("HashAggregate")
+    plan = ctw.score(df, F.col("doc_id") % 7 == 2, hot=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2
+
+
+def test_merging_runs_counts_training_apart():
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(0, 50, 300, np.uint64) << np.uint64(50) for _ in range(3)]
+    held = [rng.integers(0, 2, 300).astype(bool) for _ in range(3)]
+    train, rest = Counter(), Counter()
+    for p, h in zip(parts, held):
+        train.update(p[~h].tolist())
+        rest.update(p[h].tolist())
+    given = [p << np.uint64(1) | h for p, h in zip(parts, held)]
+    key, n = ctw._merge_runs(given)
+    assert given == [] and key.tolist() == sorted(train | rest)
+    assert [(x & ctw._TRAIN, x >> 32) for x in n.tolist()] == [(train[k], rest[k]) for k in key.tolist()]
+
+
+@pytest.mark.parametrize("depth", [6, 7])
+def test_counts_of_runs_with_and_without_a_free_bit(spark, depth):
+    texts = [("Abab" * 9, True), ("abab\xff", False), (None, True), ("", False)]
+    df = spark.createDataFrame(texts, "text string, train boolean")
+    every, train = Counter(), Counter()
+    for t, trained in texts:
+        data = bytes(depth) + (t or "").lower().encode() + b"\0"
+        runs = [int.from_bytes(data[i - depth: i + 1], "big", signed=depth == 7) for i in range(depth, len(data))]
+        every.update(runs)
+        train.update(runs if trained else [])
+    got = ctw.key_counts(df, depth, "text", "train").where(F.col("kind") == ctw.RUN).collect()
+    assert {r.key: (r.n_all, r.n_train) for r in got} == {k: (every[k], train[k]) for k in every} and len(got) == len(every)
+
+
+def test_a_table_is_sent_without_its_empty_places():
+    import pickle
+
+    keys = np.arange(1, 3001, dtype=np.uint64)
+    sent = pickle.dumps(ctw.HotTable(keys, np.arange(3000.0)))
+    assert len(sent) < 17 * len(keys)
+    value, missing = pickle.loads(sent).get(np.array([3000, 0, 7], np.uint64))
+    assert value.tolist() == [2999, 0, 6] and missing.tolist() == [1]
