@@ -1,6 +1,6 @@
 """Words and their hashes from whole texts, on bytes, for functions that run on Arrow batches.
 
-A word is ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Work is done on slices of about four million bytes, so memory does
+A word is ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Work is done on slices of about a million bytes, so memory does
 not follow the size of an Arrow batch; a text is never cut.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
